@@ -15,7 +15,7 @@ import regex
 
 #: The splitting pattern and the white space class of the tokenizer file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WORD_END = "</w>"
 
 
