@@ -17,6 +17,11 @@ def col(x: C) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def at(array: C, k: int) -> Column:
+    """The k-th element from 1 (from the end if negative), null where there is none."""
+    return F.try_element_at(col(array), F.lit(k))
+
+
 def ppm(a: C, b: C) -> Column:
     """Distance in parts per million of b (not symmetric)."""
     return F.abs(col(a) - col(b)) * 1e6 / col(b)
@@ -124,7 +129,8 @@ def modification_text(mods: C) -> Column:
 
 
 def modification_key(mass: C, site: C) -> Column:
-    return F.concat(F.lit("["), F.regexp_replace(F.regexp_replace(F.format_number(col(mass), "0.###"), "0+$", ""), r"\.$", ""), F.lit("("), col(site), F.lit(")]"))
+    number = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", col(mass)), "0+$", ""), r"\.$", "")
+    return F.concat(F.lit("["), number, F.lit("("), col(site), F.lit(")]"))
 
 
 def isotope_error_corrected(diff: C) -> Column:
@@ -135,7 +141,7 @@ def isotope_error_corrected(diff: C) -> Column:
 
 
 def relative_heights(heights: C) -> Column:
-    return F.when(F.element_at(col(heights), 1) > 0, F.transform(col(heights), lambda h: h / F.element_at(col(heights), 1)))
+    return F.when(at(col(heights), 1) > 0, F.transform(col(heights), lambda h: h / at(col(heights), 1)))
 
 
 def complete_isotopes(mz: C, least: int) -> Column:
@@ -144,7 +150,7 @@ def complete_isotopes(mz: C, least: int) -> Column:
 
 def nth_largest(values: C, n: int) -> Column:
     """-1 where there are ten values or fewer."""
-    return F.when(F.size(col(values)) > 10, F.element_at(F.sort_array(col(values), asc=False), n)).otherwise(-1.0)
+    return F.when(F.size(col(values)) > 10, at(F.sort_array(col(values), asc=False), n)).otherwise(-1.0)
 
 
 def weighted_score(weights: list[float], parts: C) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import at
 from ..functions import exprs as X
 from ..functions import signal as S
 from ..operators import joins as J
@@ -110,7 +111,7 @@ def without_grouped(found: DataFrame) -> DataFrame:
 def pairs(clusters_: DataFrame, fragments: DataFrame, windows: DataFrame, p: Parameters, per_minute: float) -> DataFrame:
     """Edges between precursor clusters and fragment curves of the isolation windows that hold them. clusters_ needs the traces of its curve (rt, intensity); fragments: run, window_id, curve_id, ...; windows: run, window_id, window_lo, window_hi."""
     w = F.broadcast(windows.select("run", F.col("window_id").alias("f_window"), "window_lo", "window_hi"))  # a few hundred windows a run
-    top = F.element_at("mz", -1)
+    top = at("mz", -1)
     c = clusters_.join(w, "run").where((top >= F.col("window_lo")) & (F.col("mono_mz") <= F.col("window_hi"))).drop("window_lo", "window_hi", "window_id").withColumnRenamed("f_window", "window_id")
     f = fragments.select("run", "window_id", F.col("curve_id").alias("fragment_id"), F.col("target_mz").alias("f_mz"), F.col("apex_rt").alias("f_apex"), F.col("apex_intensity").alias("f_intensity"), F.col("start_rt").alias("f_start"), F.col("end_rt").alias("f_end"), F.col("rt").alias("f_rt"), F.col("intensity").alias("f_y"))
     near = J.band_join(c, f, "apex_rt", "f_apex", p.apex_delta, ["run", "window_id"]).where((F.col("f_mz") <= F.col("mass")) & F.col("f_apex").between(F.col("start_rt"), F.col("end_rt")) & F.col("apex_rt").between(F.col("f_start"), F.col("f_end")))

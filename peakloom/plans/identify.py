@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import at
 from ..functions import exprs as X
 from ..operators import joins as J
 from ..operators import windows as W
@@ -44,7 +45,7 @@ def max_initial_probability(prot_pep: DataFrame) -> DataFrame:
 
 def fixed_heads(proteins: DataFrame, tag: str) -> DataFrame:
     """A decoy at a group's head gives way to the first indistinguishable target."""
-    target = F.element_at(F.filter("indistinguishable", lambda x: ~(x.startswith(tag) | x.endswith(tag))), 1)
+    target = at(F.filter("indistinguishable", lambda x: ~(x.startswith(tag) | x.endswith(tag))), 1)
     return proteins.withColumn("acc", F.when(X.is_decoy("acc", tag), F.coalesce(target, F.col("acc"))).otherwise(F.col("acc")))
 
 
@@ -63,7 +64,7 @@ def clusters_near(ions: DataFrame, clusters: DataFrame, ppm: float, rt_tolerance
 
 def quantified(ions: DataFrame, clusters: DataFrame, ppm: float, rt_tolerance: float) -> DataFrame:
     """The highest cluster of each ion."""
-    m = clusters_near(ions, clusters, ppm, rt_tolerance).withColumn("_h", F.element_at("height", 1))
+    m = clusters_near(ions, clusters, ppm, rt_tolerance).withColumn("_h", at("height", 1))
     return m.groupBy("run", "pep_key").agg(F.max_by(F.struct("cluster_id", "height", "c_apex"), F.struct("_h", "cluster_id")).alias("b")).select("run", "pep_key", "b.*")
 
 
