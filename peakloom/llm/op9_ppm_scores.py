@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ ORDER, MOST = 5, 4_000_000
 #: The byte before a text and after it; UTF-8 never has it.
 EDGE = 0xFF
 #: Bytes of text that a group should hold.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
 #: Bytes counted or scored at once, and bytes after which a task sends what it has counted.
 PIECE, SEND = 4 << 20, 64 << 20
 
@@ -146,6 +146,12 @@ class Model:
                 level["low_bottom"] = np.maximum(left + kinds_left, 1)
                 level["low_escape"] = np.where(left > 0, kinds_left / level["low_bottom"], 1.0)
             self.levels.append(level)
+            if k:  # what only the next longer context needs
+                del low["total"]
+                low["kinds"] = low["kinds"][:1]
+                for name in ("n", "bottom", "escape", "low_bottom", "low_escape"):
+                    if name in low:
+                        low[name] = low[name].astype(np.float32)
         top = self.levels[-1]
         row, _ = found(top["ctx"], top["code"] >> 8)
         value = np.log10(top["n"] / top["bottom"][row]) if len(row) else np.zeros(0)
@@ -243,7 +249,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def asked(texts: list[list[bytes]], train: list[bool], n: int) -> tuple[dict[bytes, int], list[tuple[np.ndarray, np.ndarray]]]:
+def asked(texts: Iterable[list[bytes]], train: list[bool], n: int) -> tuple[dict[bytes, int], list[tuple[np.ndarray, np.ndarray]]]:
     """A group's distinct words, and for each bucket their hashes in order and their training counts."""
     count: Counter = Counter()
     for own, t in zip(texts, train):
@@ -275,9 +281,8 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
-        texts = [words(t) for t in table.column("text").to_pylist()]
         train = [not x for x in table.column("held_out").to_pylist()]
-        _, asks = asked(texts, train, n)
+        _, asks = asked((words(t) for t in table.column("text").to_pylist()), train, n)
         ends = sum(train)
         packs = [np.array([len(h), ends], np.int64).tobytes() + planes(h) + planes(c) for h, c in asks]
         return pa.table({"bucket": pa.array(range(n), pa.int32()), "grp": pa.array([grp] * n, pa.int32()), "pack": pa.array(packs, pa.binary())})
@@ -302,9 +307,8 @@ def scored(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         whole = table.column("text").to_pylist()
-        texts = [words(t) for t in whole]
         held = table.column("held_out").to_pylist()
-        place, _ = asked(texts, [not x for x in held], n)
+        place, _ = asked(map(words, whole), [not x for x in held], n)
         counts, total, distinct, ends = [], 0, 0, 0
         for raw in (x for _, x in sorted(zip(answers.column("bucket").to_pylist(), answers.column("pack").to_pylist()))):
             facts = np.frombuffer(raw, np.int64, 3)
@@ -315,12 +319,12 @@ def scored(docs: DataFrame) -> DataFrame:
         bottom = np.log10(tokens + 0.5 * (kinds_seen + 1))
         log, known = np.log10(c + 0.5), (c > 0).astype(np.int64)
         n_tokens, n_known, base = [], [], []
-        for own in texts:
+        for own in map(words, whole):
             at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
             n_tokens.append(len(own) + 1)
             n_known.append(int(known[at].sum()) + (ends > 0))
             base.append(float(log[at].sum() + np.log10(ends + 0.5) - (len(own) + 1) * bottom))
-        cols = [table.column("doc_id").to_pylist(), held, n_tokens, n_known, [tokens] * len(texts), base, model(name, sent).scores(whole)]
+        cols = [table.column("doc_id").to_pylist(), held, n_tokens, n_known, [tokens] * len(whole), base, model(name, sent).scores(whole)]
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
     asks = dealt.groupBy("grp").applyInArrow(ask, "bucket int, grp int, pack binary")
