@@ -101,4 +101,4 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 
 def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(documents(spark, sf_dir))
+    return parsed(documents(spark, sf_dir)).drop("n_factors")

@@ -115,6 +115,13 @@ def test_rules(spark):
     assert O7.judged(frame(spark, [])).count() == 0
 
 
+def test_rules_with_many_groups(spark, monkeypatch):
+    rows = corpus(1)
+    want = sorted((r.doc_id, r.kept, tuple(r.outside)) for r in O7.judged(frame(spark, rows)).collect())
+    monkeypatch.setattr(O7, "SMALL", 0)
+    assert sorted((r.doc_id, r.kept, tuple(r.outside)) for r in O7.judged(frame(spark, rows)).collect()) == want
+
+
 def test_rules_reject_junk_and_keep_the_rest(spark):
     sf = "/root/testdata/sf0.01"
     kept = {r.doc_id: r for r in O7.op7_quality_rules(spark, sf).collect()}
