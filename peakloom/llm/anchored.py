@@ -171,12 +171,8 @@ def settled(f: dict[str, np.ndarray], spec: Spec) -> tuple[np.ndarray, np.ndarra
     return f["doc"].astype(np.int64), span(pos - f["left"], pos + f["right"])
 
 
-#: Kinds of rows: a repeated span; an open anchor; a pack for a bucket.
-SPAN, OPEN = 0, 1
-
-
 def anchors(docs: DataFrame, spec: Spec, n: int) -> DataFrame:
-    """bucket, pack; and bucket -1 with a pack of (doc, span) that the batch has settled itself."""
+    """bucket, early, pack; early packs are the (doc, span) that a batch has settled itself, in any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -201,11 +197,13 @@ def anchors(docs: DataFrame, spec: Spec, n: int) -> DataFrame:
             order = np.lexsort((f["pos"], f["doc"], home))
             home, f = home[order], take(f, order)
             cuts = np.append(np.nonzero(np.append(True, home[1:] != home[:-1]))[0], len(home)) if len(home) else np.zeros(1, np.int64)
-            rows = [(int(home[a]), pack(take(f, slice(a, b)))) for a, b in zip(cuts[:-1], cuts[1:])]
+            rows = [(int(home[a]), False, pack(take(f, slice(a, b)))) for a, b in zip(cuts[:-1], cuts[1:])]
             doc, value = settled(done, spec)
             if len(doc):
-                rows.append((-1, planes(doc) + planes(value)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "pack"])
+                for at in range(0, len(doc), 20_000):
+                    a, b = doc[at : at + 20_000], value[at : at + 20_000]
+                    rows.append((int(a[0] + b[0]) % n, True, planes(a) + planes(b)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "early", "pack"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -223,14 +221,16 @@ def anchors(docs: DataFrame, spec: Spec, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, pack binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, early boolean, pack binary")
 
 
-def settle(packs: DataFrame, spec: Spec, n: int) -> DataFrame:
+def settle(packs: DataFrame, spec: Spec) -> DataFrame:
     """doc, kind, value: spans that repeat as a whole (kind 0), and the positions of open anchors (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        f = unpack(table.column("pack").to_pylist())
+        packs = list(zip(table.column("early").to_pylist(), table.column("pack").to_pylist()))
+        early = [(unplanes(memoryview(raw)[: len(raw) // 2], np.int64, len(raw) // 16), unplanes(memoryview(raw)[len(raw) // 2 :], np.int64, len(raw) // 16)) for e, raw in packs if e]
+        f = unpack([raw for e, raw in packs if not e])
         order, again = repeats(f, spec.other)
         doc, value = settled(take(f, order[again]), spec)
         f = take(f, order[~again])
@@ -242,21 +242,13 @@ def settle(packs: DataFrame, spec: Spec, n: int) -> DataFrame:
         several = np.bincount(group, ctx_new, minlength=1) > 1
         several |= np.bincount(group, f["hot"], minlength=1) > 0
         is_open = several[group] if len(group) else np.zeros(0, bool)
+        doc, value = np.concatenate([doc, *[d for d, _ in early]]), np.concatenate([value, *[v for _, v in early]])
         docs = np.concatenate([doc, f["doc"][is_open]])
         kinds = np.concatenate([np.zeros(len(doc), np.int8), np.ones(int(is_open.sum()), np.int8)])
         values = np.concatenate([value, f["pos"][is_open].astype(np.int64)])
         return pa.table({"doc": pa.array(docs, pa.int64()), "kind": pa.array(kinds, pa.int8()), "value": pa.array(values, pa.int64())})
 
-    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                m, view = len(raw) // 16, memoryview(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(unplanes(view[: 8 * m], np.int64, m)), pa.array(np.zeros(m, np.int8)), pa.array(unplanes(view[8 * m :], np.int64, m))], names=["doc", "kind", "value"])
-
-    kinds = "doc long, kind byte, value long"
-    # both parts come from one exchange; bucket -1 is spread, its packs need not meet
-    dealt = packs.repartition(n, F.when(F.col("bucket") < 0, F.xxhash64("pack")).otherwise(F.col("bucket")), "bucket")
-    return dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(run, kinds).unionByName(dealt.where("bucket < 0").select("pack").mapInArrow(early, kinds))
+    return packs.groupBy("bucket").applyInArrow(run, "doc long, kind byte, value long")
 
 
 def suffixes(docs: DataFrame, open_anchors: DataFrame, spec: Spec) -> DataFrame:
@@ -415,7 +407,8 @@ def across(compared: DataFrame, spec: Spec) -> DataFrame:
 def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
     """doc, spans (array of lo << 32 | hi, in tokens; unmerged): what windows with an earlier twin cover."""
     n = buckets(docs.sparkSession)
-    told = written(settle(anchors(docs, spec, n), spec, n))
+    docs = docs.where("doc_id is not null")
+    told = written(settle(anchors(docs, spec, n), spec))
     compared = written(ordered(suffixes(docs, told.where("kind = 1"), spec), spec, n))
     spans = told.where("kind = 0").select("doc", "value").unionByName(compared.where("k1 is null").select("doc", "value")).unionByName(across(compared, spec))
     return spans.groupBy("doc").agg(F.collect_set("value").alias("spans"))

@@ -6,8 +6,9 @@ string of LENGTH bytes contains one, and of those only the ones whose leading by
 `anchored`). Suffixes are range-partitioned by sampled splitters, sorted in their range by multikey
 quicksort, compared with their neighbours, and held against other ranges at the boundaries.
 
-Null and short texts lose nothing (null counts as empty). Repeated rows with one doc_id would count
-as one document; ids are taken to be unique. Only doc_id and text are read.
+Null and short texts lose nothing (null counts as empty), nor do rows without a doc_id. Rows that
+repeat a doc_id are taken for one document at the same place, so a repeated row loses what it shares
+with the other. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -71,17 +72,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated strings. Characters that a cut splits are dropped; n_chars follows the text; every document stays."""
-    joined = docs.join(spans_of(docs).withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    spans = spans_of(docs).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, F.col("doc_id") == F.col("__doc"), "left")
     schema = docs.schema
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = {name: batch.column(name) for name in names}
-            texts = [t if t is None or not s else rest(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(table["text"].to_pylist(), batch.column("spans").to_pylist())]
+            texts = [t if t is None or not s else rest(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(table["text"].to_pylist(), batch.column("__spans").to_pylist())]
             table["text"] = pa.array(texts, pa.string())
             if "n_chars" in table:
                 table["n_chars"] = pa.array([None if t is None else len(t) for t in texts], table["n_chars"].type)
             yield pa.RecordBatch.from_arrays([table[name] for name in names], names=names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "spans").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, schema)
