@@ -29,6 +29,8 @@ GAMMA = 1.02
 REACH = 4.0
 #: Rows from which on a group has fences of its own.
 LEAST = 100
+#: Groups whose fences may be broadcast; parts of a group's rows beyond that.
+SMALL, SALTS = 20_000, 64
 #: The least spread of each rate, so that a group without variation doesn't reject small differences; second: whether low values are judged too.
 RATES: dict[str, tuple[float, bool]] = {
     "symbols": (0.02, False),  # characters of #*$%&|<> a word
@@ -130,14 +132,18 @@ def fences(sketch: DataFrame, reach: float = REACH, least: int = LEAST) -> DataF
 def judged(docs: DataFrame) -> DataFrame:
     """A row per document: the base counts, base_failed, kept, and `outside`, the rates beyond their fences."""
     measured = written(metrics(docs))  # narrow; read twice
-    bounds = fences(sketches(measured))
-    joined = measured.join(bounds, ["lang", "source"], "left")  # Spark broadcasts or splits by measured size
+    bounds = written(fences(sketches(measured)))  # a row a group
+    if bounds.count() <= SMALL:
+        joined = measured.join(F.broadcast(bounds), ["lang", "source"], "left")
+    else:  # a group's rows go to SALTS tasks, its fences to each of them
+        spread = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measured.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "source", "_salt"], "left")
     outside = F.array_compact(F.array(*[F.when((x > F.col(f"high_{k}")) | ((x < F.col(f"low_{k}")) if RATES[k][1] else F.lit(False)), F.lit(k)) for k, x in rates().items()]))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (F.size(outside) == 0)).alias("kept"), outside.alias("outside"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    return judged(documents(spark, sf_dir, "doc_id", "text", "lang", "source")).drop("outside")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
