@@ -377,7 +377,7 @@ def compare(suffix: list[bytes], before: list[bytes], doc: np.ndarray, pos: np.n
 
 
 def ordered(found: DataFrame, spec: Spec, n: int) -> DataFrame:
-    """doc, value (span) and, for windows that may go on in other ranges, k1, k2."""
+    """doc, value (span); and bucket, pack with the windows that may go on in other ranges, packed by their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -385,23 +385,42 @@ def ordered(found: DataFrame, spec: Spec, n: int) -> DataFrame:
             return
         t = pa.Table.from_batches(held)
         (doc, value), (k1, k2, d, p, o) = compare(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_numpy(), t.column(3).to_numpy(), spec)
-        none = pa.nulls(len(doc), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(value, pa.int64()), none, none], names=["doc", "value", "k1", "k2"])
-        lo = p.astype(np.int64) - o.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(span(lo, lo + spec.window), pa.int64()), pa.array(k1.astype(U).view(np.int64)), pa.array(k2.astype(U).view(np.int64))], names=["doc", "value", "k1", "k2"])
+        names = ["doc", "value", "bucket", "pack"]
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(value, pa.int64()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary())], names=names)
+        if len(d):
+            k1, k2 = k1.astype(U), k2.astype(U)
+            lo = p.astype(np.int64) - o.astype(np.int64)
+            where = span(lo, lo + spec.window)
+            bucket = (k1 % U(n)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.append(np.nonzero(np.append(True, np.diff(bucket[by]) != 0))[0], len(by))
+            packs = [b"".join(planes(np.ascontiguousarray(x[by[a:b]])) for x in (k1, k2, d.astype(np.int64), where)) for a, b in zip(cuts[:-1], cuts[1:])]
+            none = pa.nulls(len(packs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(bucket[by[cuts[:-1]]], pa.int32()), pa.array(packs, pa.binary())], names=names)
 
     dealt = found.repartitionByRange(n, "suffix", "before", "doc", "pos")  # Spark samples the splitters
-    return dealt.mapInArrow(run, "doc long, value long, k1 long, k2 long")
+    return dealt.mapInArrow(run, "doc long, value long, bucket int, pack binary")
 
 
 def across(compared: DataFrame, spec: Spec) -> DataFrame:
-    """doc, value: windows of classes that reach over ranges, but for each class's earliest."""
-    edge = compared.where("k1 is not null")
-    place = F.struct("doc", "value")
-    first = edge.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first")
-    joined = edge.join(first, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
-    later = F.col("doc") > F.col("first.doc") if spec.other else place > F.col("first")
-    return joined.where(later).select("doc", "value")
+    """doc, value: windows of classes that reach over ranges, but for each class's earliest. A range has sent a window's earliest only, so a class has a row a range at most (with `other`, those of its earliest document there)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for raw in table.column("pack").to_pylist():
+            m, view = len(raw) // 32, memoryview(raw)
+            parts.append([unplanes(view[8 * m * i : 8 * m * (i + 1)], kind, m) for i, kind in enumerate((U, U, np.int64, np.int64))])
+        k1, k2, doc, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((value, doc, k2, k1))
+        k1, k2, doc, value = k1[order], k2[order], doc[order], value[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        later = ~new
+        if spec.other:
+            later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        return pa.table({"doc": pa.array(doc[later], pa.int64()), "value": pa.array(value[later], pa.int64())})
+
+    return compared.where("bucket is not null").select("bucket", "pack").groupBy("bucket").applyInArrow(run, "doc long, value long")
 
 
 def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -410,7 +429,7 @@ def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
     docs = docs.where("doc_id is not null")
     told = written(settle(anchors(docs, spec, n), spec))
     compared = written(ordered(suffixes(docs, told.where("kind = 1"), spec), spec, n))
-    spans = told.where("kind = 0").select("doc", "value").unionByName(compared.where("k1 is null").select("doc", "value")).unionByName(across(compared, spec))
+    spans = told.where("kind = 0").select("doc", "value").unionByName(compared.where("bucket is null").select("doc", "value")).unionByName(across(compared, spec))
     return spans.groupBy("doc").agg(F.collect_set("value").alias("spans"))
 
 

@@ -97,7 +97,7 @@ def test_ranges_compare_across_their_ends(spark, parts):
     every = spark.createDataFrame([(i, int(p)) for i, t, *_ in rows if t for p in A.find_anchors(BYTES.tokens(t), BYTES)[0]], "doc long, value long")
     c = A.ordered(A.suffixes(docs, every, BYTES), BYTES, parts).cache()
     found = {}
-    for r in c.where("k1 is null").select("doc", "value").unionByName(A.across(c, BYTES)).collect():
+    for r in c.where("bucket is null").select("doc", "value").unionByName(A.across(c, BYTES)).collect():
         found.setdefault(r.doc, []).append(r.value)
     want = brute_bytes(rows)
     assert {i: sum(hi - lo for lo, hi in A.merged(v)) for i, v in found.items()} == {i: w[1] for i, w in want.items() if w[1]}
