@@ -4,14 +4,15 @@ A trie of byte contexts up to ORDER bytes is counted over all training documents
 in a context escapes to the next shorter one with probability D / (T + D), T the context's count and
 D its distinct symbols (escape method C); symbols already offered by the longer context are excluded
 below it. For a trained trie the code length of a symbol depends on its context alone, so the trie
-is laid out once: symbols seen after their longest context are one lookup in a hash table, the rest
-walk down the orders. The trie that goes to all workers holds at most MOST strings of ORDER + 1 bytes:
-where the corpus has more, the order is lowered until they fit (order 1 always does).
+is found once: symbols seen after their longest context have it by their counts, the rest walk down
+the orders. The trie is dealt to buckets by the last NEAR bytes of the context: all strings that the
+walk of a symbol meets above that order lie in one bucket, and the strings of at most NEAR bytes (65,792
+at most) are known to every bucket. So the order is the same for a corpus of any size.
 
-The unigram baseline needs each document's words looked up among the counts of all training words.
-Documents are dealt to groups of bounded size; a group sends its distinct words, once each, with
-their counts to the words' buckets; a bucket adds up and answers each group in the order it asked.
-So a word in every document moves once a group, and no word table is ever gathered.
+Documents are dealt to groups of bounded size; a group sends its distinct strings of ORDER + 1 bytes,
+once each, with their counts in training texts to the strings' buckets; a bucket adds up and answers
+each group with the code lengths, in the order it asked. The unigram baseline's words go the same way.
+So a word in every document moves once a group, and neither trie nor word table is ever gathered.
 
 Null texts count as empty; an empty text has one token, the end. Only doc_id and text are read;
 repeated rows are scored (and counted) each.
@@ -19,7 +20,6 @@ repeated rows are scored (and counted) each.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +33,8 @@ from .anchored import planes, unplanes
 from .common import buckets, crc_mod5, documents, written
 
 ORDER, MOST = 5, 4_000_000
+#: Bytes of a context that decide its bucket.
+NEAR = 2
 #: The byte before a text and after it; UTF-8 never has it.
 EDGE = 0xFF
 #: Bytes of text that a group should hold.
@@ -126,53 +128,28 @@ def found(among: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, among[at] == x
 
 
-class Model:
-    """The trie by order: strings with counts, contexts with escapes, and what a context leaves to the next shorter one."""
+class Table:
+    """A hash table from codes to numbers."""
 
-    def __init__(self, code: np.ndarray, n: np.ndarray, order: int):
-        self.order, self.levels = order, []
-        for k in range(order + 1):
-            c, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            count = np.bincount(at, n, minlength=len(c))
-            ctx, row = np.unique(c >> 8, return_inverse=True)
-            total, kinds = np.bincount(row, count, minlength=len(ctx)), np.bincount(row, minlength=len(ctx)).astype(np.float64)
-            level = {"code": c, "n": count, "ctx": ctx, "bottom": total + kinds, "escape": kinds / np.maximum(total + kinds, 1), "kinds": kinds, "total": total}
-            if k:  # the shorter context without the symbols that this one offers
-                low = self.levels[-1]
-                own, _ = found(low["code"], c & ((1 << 8 * k) - 1))
-                up, _ = found(low["ctx"], ctx & ((1 << 8 * (k - 1)) - 1))
-                left = low["total"][up] - np.bincount(row, low["n"][own], minlength=len(ctx)) if len(ctx) else np.zeros(0)
-                kinds_left = low["kinds"][up] - kinds if len(ctx) else np.zeros(0)
-                level["low_bottom"] = np.maximum(left + kinds_left, 1)
-                level["low_escape"] = np.where(left > 0, kinds_left / level["low_bottom"], 1.0)
-            self.levels.append(level)
-            if k:  # what only the next longer context needs
-                del low["total"]
-                low["kinds"] = low["kinds"][:1]
-                for name in ("n", "bottom", "escape", "low_bottom", "low_escape"):
-                    if name in low:
-                        low[name] = low[name].astype(np.float32)
-        top = self.levels[-1]
-        row, _ = found(top["ctx"], top["code"] >> 8)
-        value = np.log10(top["n"] / top["bottom"][row]) if len(row) else np.zeros(0)
-        self.bits = max(4, int(2 * len(top["code"])).bit_length())
+    def __init__(self, code: np.ndarray, value: np.ndarray):
+        self.bits = max(4, int(2 * len(code)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        slot, todo = self.slot(top["code"]), np.arange(len(top["code"]))
+        slot, todo = self.slot(code), np.arange(len(code))
         self.probes = 0
         while len(todo):  # linear probing, all at once: the first to claim a free slot has it
             self.probes += 1
             free = todo[self.keys[slot[todo]] == -1]
             _, first = np.unique(slot[free], return_index=True)
             won = free[first]
-            self.keys[slot[won]], self.values[slot[won]] = top["code"][won], value[won]
-            todo = todo[self.keys[slot[todo]] != top["code"][todo]]
+            self.keys[slot[won]], self.values[slot[won]] = code[won], value[won]
+            todo = todo[self.keys[slot[todo]] != code[todo]]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
     def slot(self, code: np.ndarray) -> np.ndarray:
         return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def log(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's last byte after those before it."""
+    def get(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each code's number, and where there is none."""
         out, slot, todo = np.zeros(len(code), np.float64), self.slot(code), None
         key = self.keys[slot]
         hit = key == code
@@ -189,7 +166,47 @@ class Model:
             out[todo[hit]] = self.values[slot[todo[hit]]]
             missed.append(todo[key == -1])
             todo = todo[~hit & (key != -1)]
-        missed = np.concatenate([*missed, todo])
+        return out, np.concatenate([*missed, todo])
+
+
+class Model:
+    """The trie by order: strings with counts, contexts with escapes, and what a context leaves to the next shorter one.
+
+    near: all strings of NEAR bytes with counts, where code holds the strings of one bucket only.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, order: int, near: tuple[np.ndarray, np.ndarray] | None = None):
+        self.order, self.levels = order, []
+        for k in range(order + 1):
+            own, own_n = near if near and k < NEAR else (code, n)
+            c, at = np.unique(own & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, own_n, minlength=len(c))
+            ctx, row = np.unique(c >> 8, return_inverse=True)
+            total, kinds = np.bincount(row, count, minlength=len(ctx)), np.bincount(row, minlength=len(ctx)).astype(np.float64)
+            level = {"code": c, "n": count, "ctx": ctx, "bottom": total + kinds, "escape": kinds / np.maximum(total + kinds, 1), "kinds": kinds, "total": total}
+            if k:  # the shorter context without the symbols that this one offers
+                low = self.levels[-1]
+                own, _ = found(low["code"], c & ((1 << 8 * k) - 1))
+                up, _ = found(low["ctx"], ctx & ((1 << 8 * (k - 1)) - 1))
+                left = low["total"][up] - np.bincount(row, low["n"][own], minlength=len(ctx)) if len(ctx) else np.zeros(0)
+                kinds_left = low["kinds"][up] - kinds if len(ctx) else np.zeros(0)
+                level["low_bottom"] = np.maximum(left + kinds_left, 1)
+                level["low_escape"] = np.where(left > 0, kinds_left / level["low_bottom"], 1.0)
+            self.levels.append(level)
+            if k:  # what only the next longer context needs
+                del low["total"]
+                low["kinds"] = low["kinds"][:1]
+                for name in ("n", "bottom", "escape", "low_bottom", "low_escape"):
+                    if name in low:
+                        low[name] = low[name].astype(np.float32)
+        top = self.levels[-1]
+        row, _ = found(top["ctx"], top["code"] >> 8)
+        value = np.log10(top["n"] / top["bottom"][row]) if len(row) else np.zeros(0)
+        self.table = Table(top["code"], value)
+
+    def log(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of each code's last byte after those before it."""
+        out, missed = self.table.get(code)
         out[missed] = self.walked(code[missed])
         return out
 
@@ -217,29 +234,54 @@ class Model:
         out[live] -= np.log10(256 - (kinds[0] if len(kinds) else 0))
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        out, at = np.zeros(len(texts)), 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < PIECE // 8):
-                size += len(texts[stop] or "")
-                stop += 1
-            code, first = codes(texts[at:stop], self.order)
-            out[at:stop] = np.add.reduceat(self.log(code), first[:-1])
-            at = stop
-        return out
-
 
-_models: dict[str, Model] = {}
-
-
-def model(name: str, sent) -> Model:
-    """The model of this name, built once in each worker from the strings sent."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = Model(*sent.value)
-    return _models[name]
+def total_scores(texts: list[str | None], order: int, table: Table) -> np.ndarray:
+    """log10 probability of each text and its end."""
+    out, at = np.zeros(len(texts)), 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size < PIECE // 8):
+            size += len(texts[stop] or "")
+            stop += 1
+        code, first = codes(texts[at:stop], order)
+        out[at:stop] = np.add.reduceat(table.get(code)[0], first[:-1])
+        at = stop
+    return out
+
+
+def asked_codes(texts: list[str | None], train: list[bool], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each bucket a group's distinct strings in order, and their training counts."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for kind in (True, False):
+        held, size = [], 0
+        for t in [*(t for t, own in zip(texts, train) if own == kind), None]:
+            if t is not None:
+                held.append(t)
+                size += len(t) + ORDER + 1
+            if held and (t is None or size >= PIECE // 4):
+                code, count = np.unique(codes(held, ORDER)[0], return_counts=True)
+                parts.append((code, count if kind else np.zeros(len(code), np.int64)))
+                held, size = [], 0
+    code, count = added(parts)
+    bucket = (code >> 8 & ((1 << 8 * NEAR) - 1)) * 40_503 % 65_521 % n
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by], np.arange(n + 1))
+    return [(code[by[a:b]], count[by[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def answered(packs: list[memoryview], near: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """A bucket's answers: the log10 probabilities of the strings of each pack."""
+    parts, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    asks = lambda raw: unplanes(raw, np.int64, len(raw) // 12)
+    for raw in packs:
+        m = len(raw) // 12
+        parts.append((asks(raw), unplanes(raw[8 * m :], np.uint32, m)))
+        size += m
+        if size >= 2_000_000:
+            parts, size = [added(parts)], 0
+    code, n = added(parts)
+    value = Model(code[n > 0], n[n > 0].astype(np.float64), ORDER, near).log(code).astype(np.float32)
+    return [planes(value[np.searchsorted(code, asks(raw))]) for raw in packs]
 
 
 # --- the words ----------------------------------------------------------------------------------
@@ -273,8 +315,7 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = buckets(spark)
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(crc_mod5() == 1, F.lit(False)).alias("held_out"))
-    sent = spark.sparkContext.broadcast(bounded(counted(tagged.where("not held_out"), ORDER)))  # at most MOST strings
-    name = uuid.uuid4().hex
+    near = bounded(counted(tagged.where("not held_out"), NEAR - 1), NEAR - 1)[:2]  # at most 65,536 strings
     size = int(tagged.select(F.sum(F.octet_length("text"))).first()[0] or 0)
     groups = max(4, -(-size // GROUP_BYTES))
     dealt = tagged.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
@@ -282,24 +323,27 @@ def scored(docs: DataFrame) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
         train = [not x for x in table.column("held_out").to_pylist()]
-        _, asks = asked((words(t) for t in table.column("text").to_pylist()), train, n)
+        whole = table.column("text").to_pylist()
+        _, asks = asked((words(t) for t in whole), train, n)
         ends = sum(train)
-        packs = [np.array([len(h), ends], np.int64).tobytes() + planes(h) + planes(c) for h, c in asks]
+        strings = [planes(code) + planes(count.astype(np.uint32)) for code, count in asked_codes([t or "" for t in whole], train, n)]
+        packs = [np.array([len(h), ends], np.int64).tobytes() + planes(h) + planes(c) + own for (h, c), own in zip(asks, strings)]
         return pa.table({"bucket": pa.array(range(n), pa.int32()), "grp": pa.array([grp] * n, pa.int32()), "pack": pa.array(packs, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        groups, hs, cs, ends = table.column("grp").to_pylist(), [], [], 0
+        groups, hs, cs, ends, strings = table.column("grp").to_pylist(), [], [], 0, []
         for raw in table.column("pack").to_pylist():
             m, e = np.frombuffer(raw, np.int64, 2)
             view = memoryview(raw)[16:]
             hs.append(unplanes(view[: 8 * m], np.uint64, int(m)))
             cs.append(unplanes(view[8 * m :], np.uint32, int(m)))
+            strings.append(view[12 * m :])
             ends += int(e)
         h, at = np.unique(np.concatenate(hs), return_inverse=True)
         total = np.bincount(at, np.concatenate(cs), minlength=len(h)).astype(np.uint64)
         facts = np.array([int(total.sum()), int((total > 0).sum()), ends], np.int64).tobytes()
         cuts = np.cumsum([0, *map(len, hs)])
-        packs = [facts + planes(total[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        packs = [facts + planes(total[at[a:b]]) + own for a, b, own in zip(cuts[:-1], cuts[1:], answered(strings, near))]
         bucket = table.column("bucket")[0].as_py()
         return pa.table({"grp": pa.array(groups, pa.int32()), "bucket": pa.array([bucket] * len(groups), pa.int32()), "pack": pa.array(packs, pa.binary())})
 
@@ -308,23 +352,27 @@ def scored(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         whole = table.column("text").to_pylist()
         held = table.column("held_out").to_pylist()
-        place, _ = asked(map(words, whole), [not x for x in held], n)
-        counts, total, distinct, ends = [], 0, 0, 0
-        for raw in (x for _, x in sorted(zip(answers.column("bucket").to_pylist(), answers.column("pack").to_pylist()))):
+        place, asks = asked(map(words, whole), [not x for x in held], n)
+        strings = [code for code, _ in asked_codes([t or "" for t in whole], [not x for x in held], n)]
+        counts, values, total, distinct, ends = [], [], 0, 0, 0
+        for b, raw in enumerate(x for _, x in sorted(zip(answers.column("bucket").to_pylist(), answers.column("pack").to_pylist()))):
             facts = np.frombuffer(raw, np.int64, 3)
             total, distinct, ends = total + int(facts[0]), distinct + int(facts[1]), int(facts[2])
-            counts.append(unplanes(memoryview(raw)[24:], np.uint64, (len(raw) - 24) // 8))
+            m, view = len(asks[b][0]), memoryview(raw)[24:]
+            counts.append(unplanes(view, np.uint64, m))
+            values.append(unplanes(view[8 * m :], np.float32, len(strings[b])))
         c = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
         tokens, kinds_seen = total + ends, distinct + (ends > 0)
         bottom = np.log10(tokens + 0.5 * (kinds_seen + 1))
         log, known = np.log10(c + 0.5), (c > 0).astype(np.int64)
+        table_of = Table(np.concatenate(strings), np.concatenate(values))
         n_tokens, n_known, base = [], [], []
         for own in map(words, whole):
             at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
             n_tokens.append(len(own) + 1)
             n_known.append(int(known[at].sum()) + (ends > 0))
             base.append(float(log[at].sum() + np.log10(ends + 0.5) - (len(own) + 1) * bottom))
-        cols = [table.column("doc_id").to_pylist(), held, n_tokens, n_known, [tokens] * len(whole), base, model(name, sent).scores(whole)]
+        cols = [table.column("doc_id").to_pylist(), held, n_tokens, n_known, [tokens] * len(whole), base, total_scores(whole, ORDER, table_of)]
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
     asks = dealt.groupBy("grp").applyInArrow(ask, "bucket int, grp int, pack binary")

@@ -280,6 +280,16 @@ def test_ppm_lowers_its_order_to_the_bound(spark):
     assert {r.doc_id: r.n_tokens for r in one} == {1: 1, 2: 2}
 
 
+def test_ppm_scores_do_not_depend_on_a_bound(spark, monkeypatch):
+    rows = corpus(0, 20)
+    whole = O9.Model(*O9.bounded(O9.counted(spark.createDataFrame([(t,) for i, t, *_ in rows if crc(i) % 5 != 1], "text string"), O9.ORDER)))
+    monkeypatch.setattr(O9.bounded, "__defaults__", (O9.ORDER, 300))  # fewer than the strings of these texts
+    texts = {i: t for i, t, *_ in rows}
+    got = {r.doc_id: r.score for r in O9.scored(frame(spark, rows)).collect()}
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(float(whole.log(O9.codes([t], O9.ORDER)[0]).sum()), rel=1e-6)
+
+
 # --- 10
 
 
