@@ -3,10 +3,12 @@
 Numbers, names and units become typed placeholders, so a question with other numbers or names has the
 same template. Windows of WINDOW template words of the documents are hash-joined with those of the
 benchmark items; a window must have LITERALS words that are no placeholders. What stands in the
-placeholders is compared too: over all windows that a document shares with an item, one filling of the
-item must go with one filling of the document and the other way round, else only windows without
-placeholders count. A document leaks an item if the windows counted cover COVER of the item's words, or
-RUN words of it. Items shorter than a window are compared in windows of their own length, at least
+placeholders is compared too, for each alignment (the windows that lie equally far behind those of the
+item) by itself: a filling of the item must go with one filling of the document; the document may have
+equal fillings for different ones. Windows of a consistent alignment count, with those of further ones
+that agree with it where it doesn't suffice alone; windows without placeholders or with the item's own
+fillings always count. A document leaks an item if, for any alignment, the windows counted cover COVER
+of the item's words, or RUN words of it. Items shorter than a window are compared in windows of their own length, at least
 SHORTEST words.
 
 A name is a capitalised word after a word, digit or comma and a blank (so not at the start of a
@@ -91,19 +93,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = index.where("h is not null").select("h", "size", "item_id", F.col("at").alias("i_at"), F.col("slots").alias("i_slots"))
     small = index.limit(SMALL + 1).count() <= SMALL
     hit = windows(docs, "doc_id", sizes).join(F.broadcast(index) if small else index, ["h", "size"])
-    # a window per document and item place once, with the pairs of fillings
     pairs = F.when(F.col("i_slots").isNull(), F.array().cast("array<struct<i:string,d:string>>")).otherwise(F.transform(F.arrays_zip("i_slots", "slots"), lambda z: F.struct(z["i_slots"].alias("i"), z["slots"].alias("d"))))
-    once = hit.groupBy("doc_id", "item_id", "i_at", "size").agg(F.min(F.struct(F.col("i_slots").isNotNull().alias("filled"), pairs.alias("pairs"))).alias("w"))
-    each = once.groupBy("doc_id", "item_id").agg(
-        F.collect_set(F.when(F.col("w.filled"), F.col("i_at"))).alias("filled_at"), F.collect_set(F.when(~F.col("w.filled"), F.col("i_at"))).alias("plain_at"),
-        F.array_distinct(F.flatten(F.collect_set("w.pairs"))).alias("pairs"), F.max("size").alias("size"),
+    own = F.col("i_slots").isNull() | (F.col("i_slots") == F.col("slots"))
+    # an alignment: its windows, those that always count, and its pairs of fillings
+    runs = hit.groupBy("doc_id", "item_id", (F.col("at") - F.col("i_at")).alias("apart")).agg(
+        F.array_sort(F.collect_set("i_at")).alias("at"), F.collect_set(F.when(own, F.col("i_at"))).alias("own_at"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(pairs)))).alias("pairs"), F.max("size").alias("size"),
     )
-    consistent = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
-    each = each.withColumn("consistent", consistent).withColumn("at", F.array_sort(F.when(F.col("consistent"), F.array_union("filled_at", "plain_at")).otherwise(F.col("plain_at"))))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("size") - 1)))))
-    counted = each.select("doc_id", "item_id", F.size("at").alias("n_windows"), covered.alias("covered"), "consistent").where("n_windows > 0")
-    sized = items.select("item_id", F.col("n").alias("item_words"))
-    return counted.join(sized, "item_id").where((F.col("covered") >= COVER * F.col("item_words")) | (F.col("covered") >= RUN)).select("doc_id", "item_id", "n_windows", "covered", "item_words", "consistent")
+    consistent = lambda p: F.size(F.array_distinct(F.transform(p, lambda x: x["i"]))) == F.size(p)
+    run = F.struct((-F.size("at")).alias("by"), "at", "pairs")  # equal copies once
+    each = runs.groupBy("doc_id", "item_id").agg(
+        F.array_distinct(F.flatten(F.collect_set("own_at"))).alias("own_at"), F.array_sort(F.collect_set(F.when(consistent(F.col("pairs")), run))).alias("runs"), F.max("size").alias("size"),
+    )
+    each = each.join(items.select("item_id", F.col("n").alias("item_words")), "item_id")
+    covered = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + F.col("size") - 1)))))
+    enough = lambda n: (n >= COVER * F.col("item_words")) | (n >= RUN)
+    counted = lambda at, c: F.struct(covered(at).alias("covered"), F.size(at).alias("n_windows"), F.lit(c).alias("consistent"))
+    with_own = lambda x: counted(F.array_union("own_at", x["at"]), True)
+    both = lambda x, y: F.struct(F.array_union(x["at"], y["at"]).alias("at"), F.array_union(x["pairs"], y["pairs"]).alias("pairs"))
+    grown = lambda x: F.aggregate("runs", F.struct(x["at"].alias("at"), x["pairs"].alias("pairs")), lambda acc, y: F.when(consistent(F.array_union(acc["pairs"], y["pairs"])), both(acc, y)).otherwise(acc))
+    each = each.where(enough(covered(F.array_union("own_at", F.flatten(F.transform("runs", lambda x: x["at"]))))))
+    one = each.withColumn("best", F.array_max(F.concat(F.array(counted(F.col("own_at"), False)), F.transform("runs", with_own))))
+    best = F.when(enough(F.col("best.covered")), F.col("best")).otherwise(F.array_max(F.transform("runs", lambda x: with_own(grown(x)))))
+    return one.withColumn("best", best).where(enough(F.col("best.covered"))).select("doc_id", "item_id", "best.n_windows", "best.covered", "item_words", "best.consistent")
 
 
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

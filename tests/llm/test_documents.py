@@ -312,6 +312,19 @@ def test_templates(spark):
     assert (3, 10) not in got or not got[(3, 10)].consistent
 
 
+PENS = "Tom buys 14 pens for 35 cents each and 6 books for 48 cents each and pays with 90 dollars"
+
+
+def test_each_copy_is_judged_by_itself(spark):
+    second = PENS.replace("14", "20").replace("35", "10").replace("6", "9").replace("48", "77").replace("90", "11")
+    equal = PENS.replace("35", "48").replace("14", "6")
+    split = second.replace("each and 9", "each and then 9")
+    docs = [(1, PENS + " . " + second), (2, second + " . " + second.replace("20", "33")), (3, equal), (4, split), (5, second + " . " + split)]
+    got = leaked(spark, docs, [(1, PENS)])
+    assert set(got) == {(i, 1) for i in range(1, 6)} and all(r.consistent for r in got.values())
+    assert min(r.covered for r in got.values()) >= 13 and got[(3, 1)].covered >= got[(2, 1)].covered == 19
+
+
 def test_short_items_and_empty_tables(spark):
     got = leaked(spark, [(1, "we ask which of the two rivers is longer now"), (2, "which of the rivers")], [(1, "Which of the two rivers is"), (2, "of the")])
     assert set(got) == {(1, 1)}
