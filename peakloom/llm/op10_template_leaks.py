@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names has the
 same template. Windows of WINDOW template words of the documents are hash-joined with those of the
-benchmark items; a window must have LITERALS words that are no placeholders. What stands in the
+benchmark items; a window with fewer than LITERALS words that are no placeholders must have the item's
+own fillings, so it is joined by its words as they stand. What stands in the
 placeholders is compared too, for each alignment (the windows that lie equally far behind those of the
 item) by itself: a filling of the item must go with one filling of the document; the document may have
 equal fillings for different ones. Windows of a consistent alignment count, with those of further ones
@@ -64,7 +65,7 @@ def is_slot(word: Column) -> Column:
 
 
 def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, h, at, size, slots (what fills the placeholders; null if there are none)."""
+    """key, h, at, size, slots (what fills the placeholders; null if there are none). h is of the words themselves where few are literal."""
     text = clean(F.col("text"))
     words = df.select(F.col(key).cast("long").alias(key), cut(placed(text), NUMBER + NAME + UNIT).alias("t"), F.when(text.rlike(FILLED), cut(F.lower(text))).alias("r"))
     out = None
@@ -72,7 +73,9 @@ def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
         at = F.when(F.size("t") >= size, F.sequence(F.lit(1), F.size("t") - (size - 1)))
         plain = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("t", i, size)).alias("h"), i.alias("at"), F.lit(None).cast("array<string>").alias("slots")))  # noqa: B023
         slots = lambda i: F.filter(F.zip_with(F.slice("t", i, size), F.slice("r", i, size), lambda t, r: F.when(is_slot(t), r)), lambda x: x.isNotNull())  # noqa: B023, E731
-        full = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("t", i, size)).alias("h"), i.alias("at"), slots(i).alias("slots")))  # noqa: B023
+        few = lambda w: F.size(w["slots"]) > size - min(LITERALS, size - 1)  # noqa: B023, E731
+        h = lambda w: F.when(few(w), F.xxhash64(F.lit("as it stands"), F.slice("r", w["at"], size))).otherwise(F.xxhash64(F.slice("t", w["at"], size)))  # noqa: B023, E731
+        full = F.transform(F.transform(at, lambda i: F.struct(i.alias("at"), slots(i).alias("slots"))), lambda w: F.struct(h(w).alias("h"), w["at"].alias("at"), w["slots"].alias("slots")))  # noqa: B023
         # explode_outer: for explode Spark would make all windows twice, to filter empty arrays first
         one = words.select(key, F.explode_outer(F.when(F.col("r").isNotNull(), full).otherwise(plain)).alias("w")).select(key, F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.lit(size).alias("size"), F.col("w.slots").alias("slots"))
         out = one if out is None else out.unionByName(one)
@@ -88,8 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = items.where(F.col("n") >= WINDOW) if size == WINDOW else items.where(F.col("n") == size)
         part = windows(own.withColumn("text", F.regexp_replace("text", "^" + GAP % "" + "|" + GAP % "" + "$", "")), "item_id", [size])
         index = part if index is None else index.unionByName(part)
-    literals = F.col("size") - F.coalesce(F.size("slots"), F.lit(0))
-    index = index.withColumn("slots", F.when(F.size("slots") > 0, F.col("slots"))).where(literals >= F.least(F.lit(LITERALS), F.col("size") - 1))
+    index = index.withColumn("slots", F.when(F.size("slots") > 0, F.col("slots")))
     index = index.where("h is not null").select("h", "size", "item_id", F.col("at").alias("i_at"), F.col("slots").alias("i_slots"))
     small = index.limit(SMALL + 1).count() <= SMALL
     hit = windows(docs, "doc_id", sizes).join(F.broadcast(index) if small else index, ["h", "size"])

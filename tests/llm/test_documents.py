@@ -325,6 +325,14 @@ def test_each_copy_is_judged_by_itself(spark):
     assert min(r.covered for r in got.values()) >= 13 and got[(3, 1)].covered >= got[(2, 1)].covered == 19
 
 
+def test_items_with_few_literal_words_are_found_as_they_stand(spark):
+    sums = "Compute 12 + 7 + 30 + 45 and then 8 * 9 - 14 and add 5 to 61"
+    names = "In Berlin wohnt Anna Schmidt neben Herrn Meier und Frau Krause bei der Kirche am Markt"
+    docs = [(1, "First: " + sums + "."), (2, names), (3, "3 of 7 12 " + sums.replace("12", "13").replace("45", "46").replace("9", "10").replace("61", "62")), (4, PENS)]
+    got = leaked(spark, docs, [(1, sums), (2, names), (3, PENS)])
+    assert set(got) == {(1, 1), (2, 2), (4, 3)} and all(r.covered == r.item_words for r in got.values())
+
+
 def test_short_items_and_empty_tables(spark):
     got = leaked(spark, [(1, "we ask which of the two rivers is longer now"), (2, "which of the rivers")], [(1, "Which of the two rivers is"), (2, "of the")])
     assert set(got) == {(1, 1)}
