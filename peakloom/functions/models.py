@@ -5,42 +5,65 @@ from __future__ import annotations
 import numpy as np
 
 
-def bandwidth(x: np.ndarray) -> float:
-    sd, (q1, q3) = x.std(), np.quantile(x, [0.25, 0.75])
-    return max(1e-9, 0.99 * min(sd, (q3 - q1) / 1.34 if q3 > q1 else sd) / len(x) ** 0.2)
+def quantiles(x: np.ndarray, q, counts: np.ndarray | None = None) -> np.ndarray:
+    """np.quantile of values that stand for `counts` equal ones each."""
+    if counts is None:
+        return np.quantile(x, q)
+    by = np.argsort(x)
+    upto = np.cumsum(counts[by])
+    place = np.asarray(q) * (upto[-1] - 1)
+    value = lambda i: x[by][np.minimum(np.searchsorted(upto, i, "right"), len(x) - 1)]
+    low, high = value(np.floor(place)), value(np.ceil(place))
+    return low + (high - low) * (place - np.floor(place))
 
 
-def density(x: np.ndarray, grid: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+def moments(x: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """Mean and deviation."""
+    mean = np.average(x, weights=counts)
+    return float(mean), float(np.sqrt(np.average((x - mean) ** 2, weights=counts)))
+
+
+def bandwidth(x: np.ndarray, counts: np.ndarray | None = None) -> float:
+    sd, (q1, q3) = moments(x, counts)[1], quantiles(x, [0.25, 0.75], counts)
+    n = len(x) if counts is None else counts.sum()
+    return max(1e-9, 0.99 * min(sd, (q3 - q1) / 1.34 if q3 > q1 else sd) / n**0.2)
+
+
+def density(x: np.ndarray, grid: np.ndarray, weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
     """Gaussian kernel density on a grid."""
-    h = bandwidth(x)
-    w = np.full(len(x), 1 / len(x)) if weights is None else weights / max(weights.sum(), 1e-300)
+    h = bandwidth(x, counts)
+    w = np.ones(len(x)) if weights is None else weights
+    w = w if counts is None else w * counts
+    w = w / max(w.sum(), 1e-300)
     return (w * np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2)).sum(1) / (h * np.sqrt(2 * np.pi))
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def kmeans(x: np.ndarray, k: int, rounds: int = 30, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Centres and labels in one dimension, from quantiles."""
-    centre = np.quantile(x, (np.arange(k) + 0.5) / k)
+    c = np.ones(len(x)) if counts is None else counts
+    centre = quantiles(x, (np.arange(k) + 0.5) / k, counts)
     label = np.zeros(len(x), int)
     for _ in range(rounds):
         label = np.abs(x[:, None] - centre).argmin(1)
-        new = np.array([x[label == j].mean() if (label == j).any() else centre[j] for j in range(k)])
+        new = np.array([np.average(x[label == j], weights=c[label == j]) if (label == j).any() else centre[j] for j in range(k)])
         if np.allclose(new, centre):
             break
         centre = new
     return centre, label
 
 
-def gaussians(x: np.ndarray, k: int = 2, stop: float = 1e-4, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gaussians(x: np.ndarray, k: int = 2, stop: float = 1e-4, rounds: int = 500, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and deviations of a mixture by expectation maximisation, started from k-means."""
-    mean, label = kmeans(x, k)
-    sd = np.array([x[label == j].std() if (label == j).sum() > 1 else x.std() for j in range(k)]) + 1e-6
-    weight, before = np.bincount(label, minlength=k) / len(x), -np.inf
+    c = np.ones(len(x)) if counts is None else counts
+    mean, label = kmeans(x, k, counts=counts)
+    sd = np.array([moments(x[label == j], c[label == j])[1] if c[label == j].sum() > 1 else moments(x, c)[1] for j in range(k)]) + 1e-6
+    weight, before = np.bincount(label, c, minlength=k) / c.sum(), -np.inf
     for _ in range(rounds):
         p = weight * np.exp(-0.5 * ((x[:, None] - mean) / sd) ** 2) / (sd * np.sqrt(2 * np.pi)) + 1e-300
-        like = np.log(p.sum(1)).sum()
-        r = p / p.sum(1, keepdims=True)
+        like = (c * np.log(p.sum(1))).sum()
+        r = c[:, None] * p / p.sum(1, keepdims=True)
         n = r.sum(0) + 1e-12
-        weight, mean = n / len(x), (r * x[:, None]).sum(0) / n
+        weight, mean = n / c.sum(), (r * x[:, None]).sum(0) / n
         sd = np.sqrt((r * (x[:, None] - mean) ** 2).sum(0) / n) + 1e-6
         if abs(like - before) <= stop * abs(like):
             break
@@ -48,24 +71,30 @@ def gaussians(x: np.ndarray, k: int = 2, stop: float = 1e-4, rounds: int = 500)
     return weight, mean, sd
 
 
-def posterior_table(target: np.ndarray, decoy: np.ndarray, identified: np.ndarray | None = None, bins: int = 1000, rounds: int = 50, stop: float = 1e-5) -> dict[str, np.ndarray]:
-    """score, local_p, global_p on a grid: decoys' kernel density against a kernel density of the targets weighted by their probability of being correct."""
+def posterior_table(target: np.ndarray, decoy: np.ndarray, identified: np.ndarray | None = None, bins: int = 1000, rounds: int = 50, stop: float = 1e-5, counts: tuple = (None, None, None)) -> dict[str, np.ndarray]:
+    """score, local_p, global_p on a grid: decoys' kernel density against a kernel density of the targets weighted by their probability of being correct.
+
+    counts: for how many hits each score of targets, decoys and identified stands.
+    """
+    of_target, of_decoy, of_identified = counts
     low, high = min(target.min(), decoy.min()), max(target.max(), decoy.max())
     grid = np.linspace(low, high, bins)
-    wrong = density(decoy, grid)
-    start = max((identified.mean() - 3 * identified.std()) if identified is not None and len(identified) else decoy.mean(), decoy.mean())
-    share = (target <= start).mean() / max((decoy <= start).mean(), 1e-9)
+    wrong = density(decoy, grid, counts=of_decoy)
+    mean_decoy = moments(decoy, of_decoy)[0]
+    mean, sd = moments(identified, of_identified) if identified is not None and len(identified) else (mean_decoy, 0.0)
+    start = max(mean - 3 * sd, mean_decoy)
+    share = np.average(target <= start, weights=of_target) / max(np.average(decoy <= start, weights=of_decoy), 1e-9)
     pi = float(np.clip(1 - share, 0.01, 0.99))
-    _, mean, sd = gaussians(target, 2)
+    _, mean, sd = gaussians(target, 2, counts=of_target)
     j = int(mean.argmax())
     right = np.exp(-0.5 * ((grid - mean[j]) / sd[j]) ** 2) / (sd[j] * np.sqrt(2 * np.pi))
     before = -np.inf
     for _ in range(rounds):
         f1, f0 = pi * np.interp(target, grid, right), (1 - pi) * np.interp(target, grid, wrong)
         p = f1 / (f1 + f0 + 1e-300)
-        like = float(np.log(f1 + f0 + 1e-300).sum())
-        pi = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-        right = density(target, grid, p)
+        like = float(np.dot(np.log(f1 + f0 + 1e-300), np.ones(len(target)) if of_target is None else of_target))
+        pi = float(np.clip(np.average(p, weights=of_target), 1e-3, 1 - 1e-3))
+        right = density(target, grid, p, of_target)
         if abs(like - before) <= stop * abs(like):
             break
         before = like
