@@ -7,7 +7,7 @@ own fillings, so it is joined by its words as they stand. What stands in the
 placeholders is compared too, for each alignment (the windows that lie equally far behind those of the
 item) by itself: a filling of the item must go with one filling of the document; the document may have
 equal fillings for different ones. Windows of a consistent alignment count, with those of further ones
-that agree with it where it doesn't suffice alone; windows without placeholders or with the item's own
+that agree with it; windows without placeholders or with the item's own
 fillings always count. A document leaks an item if, for any alignment, the windows counted cover COVER
 of the item's words, or RUN words of it. Items shorter than a window are compared in windows of their own length, at least
 SHORTEST words.
@@ -115,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = lambda x, y: F.struct(F.array_union(x["at"], y["at"]).alias("at"), F.array_union(x["pairs"], y["pairs"]).alias("pairs"))
     grown = lambda x: F.aggregate("runs", F.struct(x["at"].alias("at"), x["pairs"].alias("pairs")), lambda acc, y: F.when(consistent(F.array_union(acc["pairs"], y["pairs"])), both(acc, y)).otherwise(acc))
     each = each.where(enough(covered(F.array_union("own_at", F.flatten(F.transform("runs", lambda x: x["at"]))))))
-    one = each.withColumn("best", F.array_max(F.concat(F.array(counted(F.col("own_at"), False)), F.transform("runs", with_own))))
+    one = each.withColumn("best", F.array_max(F.concat(F.array(counted(F.col("own_at"), False)), F.transform("runs", with_own), F.transform(F.slice("runs", 1, 1), lambda x: with_own(grown(x))))))
     best = F.when(enough(F.col("best.covered")), F.col("best")).otherwise(F.array_max(F.transform("runs", lambda x: with_own(grown(x)))))
     return one.withColumn("best", best).where(enough(F.col("best.covered"))).select("doc_id", "item_id", "best.n_windows", "best.covered", "item_words", "best.consistent")
 
