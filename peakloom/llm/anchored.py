@@ -4,26 +4,30 @@ Every window of WINDOW tokens is represented by the gram of GRAM tokens in it wh
 equal windows choose equal grams at equal offsets, so only suffixes that start at such anchors need
 sorting. Steps:
 
-1. `anchors`: each task lists the anchors of its documents with a hash of the gram and one of the
-   widest context that a window through it can have. Contexts that repeat within a batch are settled
-   there; the rest is packed and dealt by gram. Grams with many contexts in one batch are salted by
-   context, so a passage that a third of all documents share is spread over all tasks.
-2. `settle`: per bucket, a context that occurred earlier is a repeat as a whole. A gram seen in
-   different contexts is an open case. A gram seen once is done.
-3. `suffixes`: open cases fetch their text around the anchor.
-4. `ordered` and `compare`: sampled splitters deal the suffixes to ranges by their leading tokens
-   (and what lies before them, so equal suffixes are split too); each range is sorted by multikey
-   quicksort; common prefixes of neighbours and hashes of what lies before the anchor tell which
-   windows have an earlier twin in the range.
-5. `across`: a window whose class reaches the end of a range is held against the first ones of its
-   class in the other ranges; at most one row a range and window moves.
-
-"Earlier" is a smaller (document, position); with `other` only a smaller document counts.
+1. `anchors`: each task lists the anchors of its documents with a hash of the gram. A gram that occurs
+   more than once in a batch is known to repeat: its anchors are open at once and one of them is dealt
+   to the gram's bucket to say so. The others are dealt as they are, so a gram that every document
+   holds sends a row a batch.
+2. `settle`: per bucket, anchors whose gram occurs more than once are open; the rest is done. Hashes
+   only decide what is looked at: a collision opens an anchor for nothing.
+3. `contexts`: open anchors fetch the text around them, the widest that a window through the gram can
+   have. Of contexts that are equal byte by byte within a batch only the earliest goes on; the others
+   are repeats as a whole, with the earliest as their source.
+4. `ranged`: sampled splitters deal the suffixes that start at the anchors to ranges by their leading
+   tokens (and what lies before them, so equal suffixes are split too).
+5. The operator compares the contexts of a range (op1 in a sorted array, op5 by a parse).
+6. `across`: a window whose class reaches the end of a range is held against the first ones of its
+   class in the other ranges, by a 128-bit digest of its tokens; at most one row a range and window moves.
+
+A row's place is (doc_id, hash of its text): rows that share a doc_id are apart unless they are equal,
+and equal rows get equal answers. "Earlier" is a smaller doc_id, or the same place and an earlier
+start; with `other` only a smaller doc_id counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, written
+from .common import buckets, text_bytes_of, written
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Tokens hashed at once, anchors packed at once, contexts of a gram in one pack from which on it is salted.
-PIECE, PACK, HOT = 1 << 17, 1 << 20, 64
+#: Tokens hashed at once, anchors packed at once, bytes of contexts compared at once.
+PIECE, PACK, HELD = 1 << 17, 1 << 19, 32 << 20
+#: Bytes of text whose anchors one bucket takes, and contexts that one range takes.
+BUCKET_BYTES, RANGE_ROWS = 64 << 20, 60_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,44 +82,40 @@ class Spec:
     window: int
     gram: int
     other: bool
-    width: int  # bytes of a token in suffixes
-    tokens: Callable[[str | None], np.ndarray]  # text -> tokens as unsigned integers of that width
+    tokens: Callable[[str | None], np.ndarray]  # text -> tokens as unsigned integers
+    #: text -> what `around` cuts contexts from
+    units: Callable[[str], object]
+    #: (units, from, anchor, to) -> the bytes of the tokens from the anchor on, and of those before it, nearest first
+    around: Callable[[object, int, int, int], tuple[bytes, bytes]]
 
     @property
     def reach(self) -> int:
         return self.window - self.gram
 
 
-def find_anchors(tokens: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, gram hashes and context hashes of one document's anchors, piece by piece."""
+def find_anchors(tokens: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and gram hashes of one document's anchors, piece by piece."""
     n, W, K, C = len(tokens), spec.window, spec.gram, spec.reach
     if n < W:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, U)
     parts = []
     for start in range(0, n - W + 1, PIECE):
-        # windows starting in [start, stop); contexts reach C further on both sides
-        stop = min(n - W + 1, start + PIECE)
-        lo, hi = max(0, start - C), min(n, stop - 1 + W + C)
-        t = tokens[lo:hi]
+        stop = min(n - W + 1, start + PIECE)  # windows starting in [start, stop)
+        t = tokens[start : stop - 1 + W]
         power, inverse = powers(len(t) + 1)
         sums = np.zeros(len(t) + 1, U)
-        value = mix(t.astype(U) + U(0x5851F42D4C957F2D))
-        np.cumsum(value * power[:-1], out=sums[1:])
-        a, b = start - lo, stop - 1 + W - lo  # the windows' tokens within t
-        h = mix((sums[a + K : b + 1] - sums[a : b - K + 1]) * inverse[a : b - K + 1]) | U(1)
+        np.cumsum(mix(t.astype(U) + U(0x5851F42D4C957F2D)) * power[:-1], out=sums[1:])
+        h = mix((sums[K:] - sums[: len(t) - K + 1]) * inverse[: len(t) - K + 1]) | U(1)
         low = least(h, C + 1)  # of each window
         edge = np.zeros(C, U)
         high = ~least(~np.concatenate([edge, low, edge]), C + 1)
         at = np.nonzero(high == h)[0]
-        p = at + start
-        left, right = np.maximum(p - C, 0), np.minimum(p + K + C, n)
-        ctx = mix((sums[right - lo] - sums[left - lo]) * inverse[left - lo] + mix((p - left).astype(U) * U(4096) + (right - p).astype(U)))
-        parts.append((p, h[at], ctx))
+        parts.append((at + start, h[at]))
     if len(parts) == 1:
         return parts[0]
-    p, h, ctx = (np.concatenate(x) for x in zip(*parts))
+    p, h = (np.concatenate(x) for x in zip(*parts))
     p, first = np.unique(p, return_index=True)
-    return p, h[first], ctx[first]
+    return p, h[first]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -126,94 +128,84 @@ def unplanes(raw: memoryview, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
 
 
-FIELDS = (("h", np.uint32), ("ctx", np.uint64), ("doc", np.int64), ("pos", np.uint32), ("left", np.uint8), ("right", np.uint8), ("hot", np.uint8))
+Fields = tuple[tuple[str, type], ...]
+ANCHOR: Fields = (("h", np.uint32), ("doc", np.int64), ("row", np.int64), ("pos", np.int32), ("known", np.uint8))
+PLACE: Fields = (("doc", np.int64), ("row", np.int64), ("pos", np.int32))
 
 
-def pack(f: dict[str, np.ndarray]) -> bytes:
-    return b"".join(planes(np.ascontiguousarray(f[k].astype(kind))) for k, kind in FIELDS)
+def pack(f: dict[str, np.ndarray], fields: Fields = ANCHOR) -> bytes:
+    return b"".join(planes(np.ascontiguousarray(f[k].astype(kind))) for k, kind in fields)
 
 
-def unpack(packs: list[bytes]) -> dict[str, np.ndarray]:
-    one = sum(np.dtype(kind).itemsize for _, kind in FIELDS)
-    out: dict[str, list] = {k: [] for k, _ in FIELDS}
+def unpack(packs: Iterable[bytes], fields: Fields = ANCHOR) -> dict[str, np.ndarray]:
+    one = sum(np.dtype(kind).itemsize for _, kind in fields)
+    out: dict[str, list] = {k: [np.zeros(0, kind)] for k, kind in fields}
     for raw in packs:
         n, at, view = len(raw) // one, 0, memoryview(raw)
-        for k, kind in FIELDS:
+        for k, kind in fields:
             size = n * np.dtype(kind).itemsize
             out[k].append(unplanes(view[at : at + size], kind, n))
             at += size
-    return {k: np.concatenate(v) if v else np.zeros(0, dict(FIELDS)[k]) for k, v in out.items()}
-
-
-def repeats(f: dict[str, np.ndarray], other: bool) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (gram, context, document, position), and along it which rows repeat an earlier row's context."""
-    order = np.lexsort((f["pos"], f["doc"], f["ctx"], f["h"]))
-    h, ctx, doc = f["h"][order], f["ctx"][order], f["doc"][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-    if not other:
-        return order, ~new
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order, doc > doc[first]
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 def take(f: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v[at] for k, v in f.items()}
 
 
-def span(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return lo.astype(np.int64) << 32 | hi.astype(np.int64)
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Along sorted keys, which rows begin a new class."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
-def settled(f: dict[str, np.ndarray], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """doc and span of rows that repeat as a whole."""
-    pos = f["pos"].astype(np.int64)
-    return f["doc"].astype(np.int64), span(pos - f["left"], pos + f["right"])
+def firsts(new: np.ndarray) -> np.ndarray:
+    """For each row the first row of its class."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
+
+
+def several(h: np.ndarray, doc: np.ndarray, other: bool) -> np.ndarray:
+    """Along rows sorted by (h, doc), which belong to a gram of two rows or more (with `other`, of two documents)."""
+    new = starts(h)
+    group = np.cumsum(new) - 1
+    size = np.bincount(group, starts(h, doc) if other else None, minlength=1)
+    return size[group] > 1 if len(h) else np.zeros(0, bool)
 
 
 def anchors(docs: DataFrame, spec: Spec, n: int) -> DataFrame:
-    """bucket, early, pack; early packs are the (doc, span) that a batch has settled itself, in any bucket."""
+    """bucket, early, pack: anchors by the bucket of their gram; early packs are places known to be open, in any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            f = {k: np.concatenate([x[i] for x in held]) for i, k in enumerate(("gram", "ctx", "doc", "pos", "left", "right"))}
+            f = {k: np.concatenate([x[i] for x in held]) for i, k in enumerate(("gram", "doc", "row", "pos"))}
             held.clear()
-            f["h"] = (f["gram"] >> U(32)).astype(np.uint32)
-            order, again = repeats(f, spec.other)
-            done = take(f, order[again])
-            f = take(f, order[~again])
-            home = (f["gram"] & U(0x7FFFFFFF)).astype(np.int64) % n
-            f["hot"] = np.zeros(len(home), np.uint8)
-            # grams with many contexts go by context; one of them stays at home and tells that there are others
-            new = np.ones(len(home), bool)
-            new[1:] = f["h"][1:] != f["h"][:-1]
-            size = np.diff(np.append(np.nonzero(new)[0], len(home)))
-            many = np.repeat(size > HOT, size)
-            f["hot"][many] = 1
-            home = np.where(many & ~new, (f["ctx"] >> U(20)).astype(np.int64) % n, home)
-            order = np.lexsort((f["pos"], f["doc"], home))
-            home, f = home[order], take(f, order)
-            cuts = np.append(np.nonzero(np.append(True, home[1:] != home[:-1]))[0], len(home)) if len(home) else np.zeros(1, np.int64)
-            rows = [(int(home[a]), False, pack(take(f, slice(a, b)))) for a, b in zip(cuts[:-1], cuts[1:])]
-            doc, value = settled(done, spec)
-            if len(doc):
-                for at in range(0, len(doc), 20_000):
-                    a, b = doc[at : at + 20_000], value[at : at + 20_000]
-                    rows.append((int(a[0] + b[0]) % n, True, planes(a) + planes(b)))
+            f = take(f, np.lexsort((f["pos"], f["row"], f["doc"], f["gram"])))
+            again = several(f["gram"], f["doc"], spec.other)
+            early, home = take(f, again), take(f, ~again | starts(f["gram"]))
+            home["known"] = again[~again | starts(f["gram"])]
+            home["h"] = (home["gram"] >> U(32)).astype(np.uint32)
+            bucket = (home["gram"] & U(0x7FFFFFFF)).astype(np.int64) % n
+            by = np.lexsort((home["pos"], home["doc"], bucket))
+            bucket, home = bucket[by], take(home, by)
+            cuts = np.append(np.nonzero(starts(bucket))[0], len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+            rows = [(int(bucket[a]), False, pack(take(home, slice(a, b)))) for a, b in zip(cuts[:-1], cuts[1:])]
+            early = take(early, np.lexsort((early["pos"], early["doc"])))
+            for at in range(0, len(early["doc"]), 20_000):
+                some = take(early, slice(at, at + 20_000))
+                rows.append((int(some["doc"][0] + some["pos"][0]) % n, True, pack(some, PLACE)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "early", "pack"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
-                tokens = spec.tokens(text)
-                p, h, ctx = find_anchors(tokens, spec)
+                p, h = find_anchors(spec.tokens(batch.column(2)[i].as_py()), spec)
                 if len(p):
-                    left, right = np.minimum(p, spec.reach), np.minimum(len(tokens) - p, spec.window)
-                    held.append((h, ctx, np.full(len(p), ids[i], np.int64), p, left, right))
+                    held.append((h, np.full(len(p), ids[i], np.int64), np.full(len(p), rows[i], np.int64), p))
                     count += len(p)
                 if count >= PACK:
                     yield flush()
@@ -221,216 +213,170 @@ def anchors(docs: DataFrame, spec: Spec, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, early boolean, pack binary")
+    return docs.mapInArrow(run, "bucket int, early boolean, pack binary")
 
 
 def settle(packs: DataFrame, spec: Spec) -> DataFrame:
-    """doc, kind, value: spans that repeat as a whole (kind 0), and the positions of open anchors (kind 1)."""
+    """doc, row, pos of open anchors."""
 
     def run(table: pa.Table) -> pa.Table:
         packs = list(zip(table.column("early").to_pylist(), table.column("pack").to_pylist()))
-        early = [(unplanes(memoryview(raw)[: len(raw) // 2], np.int64, len(raw) // 16), unplanes(memoryview(raw)[len(raw) // 2 :], np.int64, len(raw) // 16)) for e, raw in packs if e]
-        f = unpack([raw for e, raw in packs if not e])
-        order, again = repeats(f, spec.other)
-        doc, value = settled(take(f, order[again]), spec)
-        f = take(f, order[~again])
-        new = np.ones(len(f["h"]), bool)
-        new[1:] = f["h"][1:] != f["h"][:-1]
-        group = np.cumsum(new) - 1
-        ctx_new = new.copy()
-        ctx_new[1:] |= f["ctx"][1:] != f["ctx"][:-1]
-        several = np.bincount(group, ctx_new, minlength=1) > 1
-        several |= np.bincount(group, f["hot"], minlength=1) > 0
-        is_open = several[group] if len(group) else np.zeros(0, bool)
-        doc, value = np.concatenate([doc, *[d for d, _ in early]]), np.concatenate([value, *[v for _, v in early]])
-        docs = np.concatenate([doc, f["doc"][is_open]])
-        kinds = np.concatenate([np.zeros(len(doc), np.int8), np.ones(int(is_open.sum()), np.int8)])
-        values = np.concatenate([value, f["pos"][is_open].astype(np.int64)])
-        return pa.table({"doc": pa.array(docs, pa.int64()), "kind": pa.array(kinds, pa.int8()), "value": pa.array(values, pa.int64())})
-
-    return packs.groupBy("bucket").applyInArrow(run, "doc long, kind byte, value long")
-
-
-def suffixes(docs: DataFrame, open_anchors: DataFrame, spec: Spec) -> DataFrame:
-    """suffix (tokens from the anchor on), before (tokens before it, nearest first), doc, pos."""
-    wanted = open_anchors.groupBy("doc").agg(F.collect_list(F.col("value").cast("int")).alias("at"))
-    joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "at")
-    C, W, width = spec.reach, spec.window, spec.width
+        early = unpack((raw for e, raw in packs if e), PLACE)
+        f = unpack(raw for e, raw in packs if not e)
+        f = take(f, np.lexsort((f["pos"], f["doc"], f["h"])))
+        is_open = several(f["h"], f["doc"], spec.other)
+        if len(is_open):
+            group = np.cumsum(starts(f["h"])) - 1
+            is_open |= np.bincount(group, f["known"])[group] > 0
+        found = take(f, is_open & (f["known"] == 0))  # the known ones are among the early
+        return pa.table({k: pa.array(np.concatenate([found[k], early[k]]), pa.from_numpy_dtype(kind)) for k, kind in PLACE})
+
+    return packs.groupBy("bucket").applyInArrow(run, "doc long, row long, pos int")
+
+
+FOUND = "doc long, row long, value long, s_doc long, s_row long, s_pos int"
+CONTEXT = "suffix binary, before binary, pos int, " + FOUND
+
+
+def span(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return lo.astype(np.int64) << 32 | hi.astype(np.int64)
+
+
+def contexts(docs: DataFrame, open_anchors: DataFrame, spec: Spec) -> DataFrame:
+    """CONTEXT: with suffix and before, a context that goes on; with value, a span that repeats as a whole, and where its source begins."""
+    wanted = open_anchors.groupBy("doc", F.col("row").alias("_row")).agg(F.collect_list("pos").alias("at"))
+    joined = docs.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "at")
+    C, W, names = spec.reach, spec.window, [x.split()[0] for x in CONTEXT.split(", ")]
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for key, place, lo, hi in held:
+                source = first[key]
+                if place[0] > source[0] or (not spec.other and place[:2] == source[:2] and place[2] > source[2]):
+                    rows.append((None, None, None, place[0], place[1], lo << 32 | hi, source[0], source[1], source[2] - place[2] + lo))
+                else:
+                    rows.append((*key, place[2], place[0], place[1], None, None, None, None))
+            first.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                suffix, before, ids, at = [], [], [], []
-                part = batch.slice(a, 500)
-                for doc, text, where in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    tokens = spec.tokens(text)
-                    big = tokens.astype(f">u{width}").tobytes()
-                    back = tokens[::-1].astype(f">u{width}").tobytes()
-                    n = len(tokens)
-                    for p in where:
-                        suffix.append(big[p * width : min(n, p + W) * width])
-                        before.append(back[(n - p) * width : min(n, n - p + C) * width])
-                        at.append(p)
-                    ids += [doc] * len(where)
-                yield pa.RecordBatch.from_arrays([pa.array(suffix, pa.binary()), pa.array(before, pa.binary()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], names=["suffix", "before", "doc", "pos"])
-
-    return joined.mapInArrow(run, "suffix binary, before binary, doc long, pos int")
-
-
-def words_of(rows: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows padded to `size` bytes (a multiple of 8) as big-endian 8-byte characters, and their lengths in bytes."""
-    n = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = b"".join([r.ljust(size, b"\0") for r in rows])
-    return np.frombuffer(flat, ">u8").reshape(len(rows), size // 8).astype(U), n
-
-
-def multikey(chars: np.ndarray) -> np.ndarray:
-    """An order of the rows by multikey quicksort, breadth first: at each depth every class of still equal rows is split by one character; only classes that stay equal go on."""
-    n, depth = chars.shape
-    order = np.arange(n)
-    at, group = np.arange(n), np.zeros(n, np.int64)  # places that are not settled, and their classes
-    for d in range(depth):
-        if not len(at):
-            break
-        c = chars[order[at], d]
-        by = np.lexsort((c, group))
-        order[at], c = order[at[by]], c[by]
-        new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (c[1:] != c[:-1])
-        size = np.diff(np.append(np.nonzero(new)[0], len(at)))
-        open_ = np.repeat(size > 1, size)
-        at, group = at[open_], np.cumsum(new)[open_]
-    return order
-
-
-def common(rows: np.ndarray) -> np.ndarray:
-    """Bytes that each row shares with the row before it (0 for the first)."""
-    out = np.zeros(len(rows), np.int64)
-    for a in range(1, len(rows), 1 << 16):
-        differ = rows[a : a + (1 << 16)] != rows[a - 1 : a - 1 + (1 << 16)][: len(rows[a : a + (1 << 16)])]
-        out[a : a + (1 << 16)] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+            for i in range(batch.num_rows):
+                doc, row, text = (batch.column(c)[i].as_py() for c in range(3))
+                units = spec.units(text)
+                n = len(units)
+                for p in batch.column(3)[i].as_py():
+                    lo, hi = max(0, p - C), min(n, p + W)
+                    key, place = spec.around(units, lo, p, hi), (doc, row, p)
+                    if first.setdefault(key, place) > place:
+                        first[key] = place
+                    held.append((key, place, lo, hi))
+                    size += len(key[0]) + len(key[1]) + 100
+                    if size > HELD:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
+
+    return joined.mapInArrow(run, CONTEXT)
+
+
+def ranged(going: DataFrame, rows: int) -> DataFrame:
+    """suffix, before, doc, row, pos in ranges by the splitters that Spark samples; as many as the rows need."""
+    n = max(buckets(going.sparkSession), -(-rows // RANGE_ROWS))
+    return going.select("suffix", "before", "doc", "row", "pos").repartitionByRange(n, "suffix", "before", "doc", "row", "pos")
+
+
+def twins(new: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, other: bool) -> np.ndarray:
+    """Along rows sorted by (class, doc, row, pos), which have an earlier one in their class."""
+    out = doc > doc[firsts(new)]
+    if not other and len(new):
+        out |= pos > pos[firsts(new | starts(doc, row))]
     return out
 
 
-def compare(suffix: list[bytes], before: list[bytes], doc: np.ndarray, pos: np.ndarray, spec: Spec) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Within one range: (doc, span) of windows with an earlier twin; and (key, key2, doc, pos, offset) of windows whose class may reach into other ranges."""
-    width, W, C, K = spec.width, spec.window, spec.reach, spec.gram
-    m = len(suffix)
-    size = -(-W * width // 8) * 8
-    back_size = max(8, -(-C * width // 8) * 8)
-    chars, length = words_of(suffix, size)
-    order = multikey(chars)
-    chars, length = chars[order], length[order] // width
-    doc, pos = doc[order], pos[order]
-    left = np.frombuffer(b"".join([before[i].ljust(back_size, b"\0") for i in order]), np.uint8).reshape(m, back_size)
-    left_n = np.fromiter((len(before[i]) for i in order), np.int64, m) // width
-    right = chars.astype(">u8").view(np.uint8).reshape(m, size)
-    shared = common(right) // width
-    rank = np.empty(m, np.int64)
-    rank[np.lexsort((pos, doc))] = np.arange(m)
-    by_rank = np.argsort(rank)
-    token = lambda raw, i: raw[:, i * width : (i + 1) * width].astype(U) @ (U(256) ** np.arange(width, dtype=U)[::-1])
-    low, high = np.full(m, C + 1), np.full(m, -1)  # least and greatest offset with an earlier twin
-    sent: list[list[np.ndarray]] = [[] for _ in range(5)]
-    # hashes of what lies right of the anchor up to each length, and left of it
-    h1, h2 = np.zeros(m, U), np.full(m, U(17))
-    rights = {}
-    for i in range(W):
-        t = token(right, i)
-        h1, h2 = mix(h1 * _BASE + t + U(1)), mix(h2 * U(0xD6E8FEB86659FD93) + t + U(3))
-        if i + 1 >= K:
-            rights[i + 1] = (h1, h2)
-    l1, l2 = np.full(m, U(5)), np.full(m, U(11))
-    for o in range(C + 1):
-        if o:
-            t = token(left, o - 1)
-            l1, l2 = mix(l1 * _BASE + t + U(7)), mix(l2 * U(0xD6E8FEB86659FD93) + t + U(9))
-        need = W - o
-        interval = np.cumsum(shared < need)  # suffixes that share `need` tokens lie together
-        fits = (left_n >= o) & (length >= need)
-        rows = by_rank[fits[by_rank]]  # by document and position
-        if not len(rows):
-            continue
-        key = mix(l1[rows] ^ mix(interval[rows].astype(U)))
-        by = np.argsort(key, kind="stable")
-        rows, key = rows[by], key[by]
-        new = np.ones(len(rows), bool)
-        new[1:] = key[1:] != key[:-1]
-        if spec.other:
-            first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-            twin = doc[rows] > doc[rows[first]]
-        else:
-            twin = ~new
-        hit = rows[twin]
-        low[hit] = np.minimum(low[hit], o)
-        high[hit] = np.maximum(high[hit], o)
-        reaches = ~twin & ((interval[rows] == interval[0]) | (interval[rows] == interval[-1]))
-        if reaches.any():
-            r = rows[reaches]
-            r1, r2 = rights[need]
-            for store, x in zip(sent, (mix(l1[r] ^ mix(r1[r])), mix(l2[r] ^ mix(r2[r] + U(o))), doc[r], pos[r], np.full(len(r), o))):
-                store.append(x)
-    hit = high >= 0
-    p = pos[hit].astype(np.int64)
-    # all windows between the least and greatest offset contain the gram; their union is one span
-    return [doc[hit], span(p - high[hit], p - low[hit] + W)], [np.concatenate(x) if x else np.zeros(0, np.int64) for x in sent]
-
-
-def ordered(found: DataFrame, spec: Spec, n: int) -> DataFrame:
-    """doc, value (span); and bucket, pack with the windows that may go on in other ranges, packed by their key."""
+def digest(window: bytes) -> bytes:
+    return hashlib.blake2b(window, digest_size=16).digest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        t = pa.Table.from_batches(held)
-        (doc, value), (k1, k2, d, p, o) = compare(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_numpy(), t.column(3).to_numpy(), spec)
-        names = ["doc", "value", "bucket", "pack"]
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(value, pa.int64()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary())], names=names)
-        if len(d):
-            k1, k2 = k1.astype(U), k2.astype(U)
-            lo = p.astype(np.int64) - o.astype(np.int64)
-            where = span(lo, lo + spec.window)
-            bucket = (k1 % U(n)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.nonzero(np.append(True, np.diff(bucket[by]) != 0))[0], len(by))
-            packs = [b"".join(planes(np.ascontiguousarray(x[by[a:b]])) for x in (k1, k2, d.astype(np.int64), where)) for a, b in zip(cuts[:-1], cuts[1:])]
-            none = pa.nulls(len(packs), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(bucket[by[cuts[:-1]]], pa.int32()), pa.array(packs, pa.binary())], names=names)
-
-    dealt = found.repartitionByRange(n, "suffix", "before", "doc", "pos")  # Spark samples the splitters
-    return dealt.mapInArrow(run, "doc long, value long, bucket int, pack binary")
+
+REACHING: Fields = (("k1", np.uint64), ("k2", np.uint64), ("doc", np.int64), ("row", np.int64), ("pos", np.int32))
+
+
+def reaching(sent: list[tuple[bytes, int, int, int]], n: int) -> tuple[list[int], list[bytes]]:
+    """Buckets and packs of (digest of a window, doc, row, start)."""
+    if not sent:
+        return [], []
+    key = np.frombuffer(b"".join([s[0] for s in sent]), np.uint64).reshape(-1, 2)
+    f = {"k1": key[:, 0], "k2": key[:, 1]} | {k: np.array(v, np.int64) for k, v in zip(("doc", "row", "pos"), list(zip(*sent))[1:])}
+    bucket = (f["k1"] % U(n)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    bucket, f = bucket[by], take(f, by)
+    cuts = np.append(np.nonzero(starts(bucket))[0], len(bucket))
+    return bucket[cuts[:-1]].tolist(), [pack(take(f, slice(a, b)), REACHING) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def across(compared: DataFrame, spec: Spec) -> DataFrame:
-    """doc, value: windows of classes that reach over ranges, but for each class's earliest. A range has sent a window's earliest only, so a class has a row a range at most (with `other`, those of its earliest document there)."""
+    """FOUND: windows of classes that reach over ranges, but for each class's earliest. A range has sent of a class only windows without an earlier twin in it."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for raw in table.column("pack").to_pylist():
-            m, view = len(raw) // 32, memoryview(raw)
-            parts.append([unplanes(view[8 * m * i : 8 * m * (i + 1)], kind, m) for i, kind in enumerate((U, U, np.int64, np.int64))])
-        k1, k2, doc, value = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((value, doc, k2, k1))
-        k1, k2, doc, value = k1[order], k2[order], doc[order], value[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        later = ~new
-        if spec.other:
-            later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        return pa.table({"doc": pa.array(doc[later], pa.int64()), "value": pa.array(value[later], pa.int64())})
-
-    return compared.where("bucket is not null").select("bucket", "pack").groupBy("bucket").applyInArrow(run, "doc long, value long")
-
-
-def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
-    """doc, spans (array of lo << 32 | hi, in tokens; unmerged): what windows with an earlier twin cover."""
-    n = buckets(docs.sparkSession)
+        f = unpack(table.column("pack").to_pylist(), REACHING)
+        f = take(f, np.lexsort((f["pos"], f["row"], f["doc"], f["k2"], f["k1"])))
+        new = starts(f["k1"], f["k2"])
+        later = twins(new, f["doc"], f["row"], f["pos"], spec.other)
+        source = take(f, firsts(new)[later])
+        f = take(f, later)
+        cols = [f["doc"], f["row"], span(f["pos"], f["pos"].astype(np.int64) + spec.window), source["doc"], source["row"], source["pos"]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.int32()])], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    return compared.where("bucket is not null").select("bucket", "pack").groupBy("bucket").applyInArrow(run, FOUND)
+
+
+#: What a range's comparison gives: found spans, or the packs for other ranges.
+COMPARED = FOUND + ", bucket int, pack binary"
+
+
+def compared_rows(found: list, sent: list[tuple[bytes, int, int, int]], n: int) -> Iterator[pa.RecordBatch]:
+    """COMPARED from columns of FOUND and windows that may go on in other ranges."""
+    names = [x.split()[0] for x in COMPARED.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
+    m = len(found[0])
+    if m:
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(found, kinds)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+    bucket, packs = reaching(sent, n)
+    if packs:
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packs), t) for t in kinds[:6]), pa.array(bucket, pa.int32()), pa.array(packs, pa.binary())], names=names)
+
+
+Compare = Callable[[pa.Table, Spec], tuple[list, list[tuple[bytes, int, int, int]]]]
+
+
+def repeated(docs: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
+    """FOUND: spans (lo << 32 | hi, in tokens; they overlap) whose windows have earlier twins, and the place of one. docs: doc_id, row, text."""
     docs = docs.where("doc_id is not null")
+    n = buckets(docs.sparkSession, -(-text_bytes_of(docs) // BUCKET_BYTES))
     told = written(settle(anchors(docs, spec, n), spec))
-    compared = written(ordered(suffixes(docs, told.where("kind = 1"), spec), spec, n))
-    spans = told.where("kind = 0").select("doc", "value").unionByName(compared.where("bucket is null").select("doc", "value")).unionByName(across(compared, spec))
-    return spans.groupBy("doc").agg(F.collect_set("value").alias("spans"))
+    around = written(contexts(docs, told, spec))
+    going = around.where("suffix is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            yield from compared_rows(*compare(pa.Table.from_batches(held), spec), n)
+
+    compared = written(ranged(going, going.count()).mapInArrow(run, COMPARED))
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    return around.where("suffix is null").select(*names).unionByName(compared.where("bucket is null").select(*names)).unionByName(across(compared, spec))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (with doc_id the row's place), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
 
 
 def merged(spans: list[int] | None) -> list[tuple[int, int]]:

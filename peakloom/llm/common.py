@@ -20,9 +20,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. A temporary one only where the session names none."""
+    """The folder that the driver and all executors see. A temporary one only in local mode, where there is one machine; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="peakloom-")
         spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return named.rstrip("/")
@@ -32,15 +34,20 @@ def written(df: DataFrame) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder. A lost executor costs a reread, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/peakloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def buckets(spark: SparkSession, least: int = 1) -> int:
-    """How many buckets packed records are dealt to; follows the cluster's shuffle width, which follows the data."""
+    """How many buckets packed records are dealt to: the shuffle width, or more where the data need more."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def text_bytes_of(docs: DataFrame) -> int:
+    """Bytes of all texts, by a scan of that column."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
 def utf8(column: pa.Array) -> tuple[memoryview, list[int]]:
     """The bytes of a string column, one after another, and the offsets of its rows (nulls: empty)."""
     if isinstance(column, pa.ChunkedArray):

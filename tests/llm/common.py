@@ -71,27 +71,54 @@ def crc(i):
 
 
 def brute_bytes(rows, size=100):
-    seen, out = set(), {}
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
-        b = (t or "").encode()
-        gone = bytearray(len(b))
+    """doc_id -> answer; of rows that share a doc_id the answers in order of the rows, in a list (unique ids: the one answer)."""
+    places = sorted({(r[0], r[1] or "") for r in rows})
+    first = {}
+    for i, t in places:
+        b = t.encode()
+        for s in range(len(b) - size + 1):
+            first.setdefault(b[s : s + size], (i, t, s))
+    answer = {}
+    for i, t in places:
+        b = t.encode()
+        gone, own = bytearray(len(b)), set()
         for s in range(len(b) - size + 1):
             w = b[s : s + size]
-            if w in seen:
+            if first[w][0] < i or w in own:
                 gone[s : s + size] = b"\1" * size
-            seen.add(w)
-        out[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(c for c, g in zip(b, gone) if not g)))
-    return out
+            own.add(w)
+        answer[i, t] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(c for c, g in zip(b, gone) if not g)))
+    return by_id(rows, answer)
 
 
 def brute_words(rows, size=13):
-    first, out = {}, {}
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
-        w = WORD.findall(t or "")
+    places = sorted({(r[0], r[1] or "") for r in rows})
+    first, answer = {}, {}
+    for i, t in places:
+        w = WORD.findall(t)
+        for s in range(len(w) - size + 1):
+            first.setdefault(tuple(w[s : s + size]), i)
+    for i, t in places:
+        w = WORD.findall(t)
         gone = bytearray(len(w))
         for s in range(len(w) - size + 1):
-            if first.setdefault(tuple(w[s : s + size]), i) < i:
+            if first[tuple(w[s : s + size])] < i:
                 gone[s : s + size] = b"\1" * size
         kept = [x for x, g in zip(w, gone) if not g]
-        out[i] = (len(w), sum(gone), sha(" ".join(kept).encode()))
-    return out
+        answer[i, t] = (len(w), sum(gone), sha(" ".join(kept).encode()))
+    return by_id(rows, answer)
+
+
+def by_id(rows, answer):
+    out = {}
+    for i, t, *_ in rows:
+        out.setdefault(i, []).append(answer[i, t or ""])
+    return {i: v[0] if len(v) == 1 else sorted(v) for i, v in out.items()}
+
+
+def answers(df, n):
+    """doc_id -> the n columns after it; a sorted list where a doc_id has several rows."""
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, []).append(tuple(r)[1 : 1 + n])
+    return {i: v[0] if len(v) == 1 else sorted(v) for i, v in out.items()}
