@@ -7,6 +7,7 @@ contractions, runs of letters, single digits and runs of other characters.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -17,6 +18,8 @@ import regex
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WORD_END = "</w>"
+#: Bytes up to which a word is merged with a list of ranks; longer ones by a heap. The rank of no pair.
+SHORT, NONE = 64, 1 << 60
 
 
 def byte_alphabet() -> list[str]:
@@ -47,10 +50,12 @@ class WordBPE:
         self.alphabet = byte_alphabet()
         self.inner = [self.vocab[c] for c in self.alphabet]
         self.last = [self.vocab[c + WORD_END] for c in self.alphabet]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of a pair of ids
+        self.made: list[int] = []  # by rank, the id that the pair becomes
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault(self.vocab[a] << 20 | self.vocab[b], (rank, self.vocab[a + b]))
+            self.ranks.setdefault(self.vocab[a] << 20 | self.vocab[b], rank)
+            self.made.append(self.vocab[a + b])
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens in order; special strings stand for themselves."""
@@ -66,22 +71,46 @@ class WordBPE:
         raw = word.encode("utf-8")
         ids = [self.inner[b] for b in raw[:-1]]
         ids.append(self.last[raw[-1]])
-        get, none = self.merges.get, (1 << 60, -1)
-        while len(ids) > 1:
-            found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
-            best = min(found)
-            if best is none:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i < n - 1 and found[i] == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return tuple(ids)
+        return tuple(self.joined(ids) if len(ids) <= SHORT else self.joined_by_heap(ids))
+
+    def joined(self, ids: list[int]) -> list[int]:
+        """For short words: the ranks of all pairs stand in a list, of which a join changes two."""
+        ids, rank, none = [*ids], self.ranks.get, NONE
+        found = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != none:
+            i = found.index(best)
+            ids[i] = new = self.made[best]
+            del ids[i + 1], found[i]
+            if i:
+                found[i - 1] = rank(ids[i - 1] << 20 | new, none)
+            if i < len(found):
+                found[i] = rank(new << 20 | ids[i + 1], none)
+        return ids
+
+    def joined_by_heap(self, ids: list[int]) -> list[int]:
+        """For words of any length: a heap of pairs over a linked list, n log n. A pair that has changed since it was pushed is passed over."""
+        n, get = len(ids), self.ranks.get
+        ids, after, before = [*ids], [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j] = (new := self.made[r]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(new << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << 20 | new)) is not None:
+                heapq.heappush(heap, (r, h, ids[h], new))
+        return [x for x in ids if x >= 0]
+
+    def chunks(self, text: str) -> list[str]:
+        """The text between blanks and line ends: no special string, pre-token or composition reaches over them, so each may be split by itself."""
+        return text.replace("\n", " ").split(" ")
 
     def ids(self, piece: str) -> tuple[int, ...]:
         return (self.special[piece],) if piece in self.special else self.merge(piece)

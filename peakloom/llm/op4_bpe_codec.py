@@ -1,16 +1,19 @@
 """Operator 4, BPE encoding and decoding through a minimal acyclic transducer lexicon.
 
-Frequent words (those the vocabulary holds whole, and the most frequent of a bounded sample of
-the corpus) are compiled with their ids into a shared-suffix automaton that workers map into
-memory. Words outside it are merged exactly. The lexicon only saves merges: ids never depend on it.
-
-Null text is taken as empty; empty text gives no tokens and an empty decoding. Other columns of
-the input are passed by; a clash of names with the outputs is avoided by selecting id and text only.
+Frequent words (those the vocabulary holds whole, and the most frequent of a sample drawn by hash from
+all documents) are compiled with their ids into a shared-suffix automaton that workers map into memory.
+Words outside it are merged exactly, long ones by a heap of pairs. The lexicon only saves merges: ids
+never depend on it. What stands between two blanks is encoded once and remembered.
+
+Null text is taken as empty; empty text gives no tokens and an empty decoding. A word may be as long
+as the text. Repeated rows and ids are encoded each. Other columns of the input are passed by; a clash
+of names with the outputs is avoided by selecting id and text only.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 from . import bpe, transducer
 from .common import documents
 
-#: Words of the sample that enter the lexicon at most, and documents of the sample at most.
-LEXICON_WORDS, SAMPLE_DOCS = 50_000, 1_000
-#: Words a worker keeps encoded between batches; beyond it the memory starts anew.
-MEMORY_WORDS = 200_000
+#: Words of the sample that enter the lexicon at most, their greatest length in characters, and documents of the sample on average.
+LEXICON_WORDS, LEXICON_LENGTH, SAMPLE_DOCS = 50_000, 64, 1_000
+#: Characters (and 50 an entry) of text that a worker keeps encoded between batches; beyond it the memory starts anew.
+MEMORY = 20_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,45 +35,76 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def frequent(docs: DataFrame, path: str, words: int = LEXICON_WORDS, sample: int = SAMPLE_DOCS) -> list[str]:
+    """The most frequent words of about `sample` documents, drawn by hash over all rows: at most `words` short words reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bpe.load(path)
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                seen.update(w for w in model.pieces(text or "") if len(w) <= LEXICON_LENGTH)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    every = max(1, docs.count() // sample)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(every)) == 0).select("text").mapInArrow(run, "word string, n long")
+    top = drawn.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
+    return [r.word for r in top.collect()]
+
+
 def lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, sample: int = SAMPLE_DOCS) -> bytes:
-    """Compiles the frequent words. Bounded: the vocabulary's whole words and at most `words` of at most `sample` documents."""
+    """Compiles the frequent words. Bounded: the vocabulary's whole words and at most `words` of the sample."""
     model = bpe.load(path)
     entries = {w.encode(): (i,) for w, i in model.whole_tokens().items()}
-    from collections import Counter
-
-    seen: Counter = Counter()
-    for (text,) in docs.select("text").limit(sample).collect():
-        seen.update(model.pieces(text or ""))
-    for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:words]:
-        if n > 1 and w not in model.special:
+    for w in frequent(docs, path, words, sample):
+        if w not in model.special:
             entries.setdefault(w.encode(), model.merge(w))
     return transducer.compiled(entries)
 
 
 class Codec:
-    """Words to (ids as text, tokens as text, count); remembers what it has seen."""
+    """Chunks of text to (ids as text, tokens as text, count); remembers what it has seen."""
 
     def __init__(self, path: str, blob: bytes):
         self.model, self.lexicon = bpe.load(path), transducer.mapped(blob)
-        self.known: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, tuple[str, str, int]] = {}
+        self.words: dict[str, tuple[str, str, int]] = {}
+        self.held = 0
 
-    def learn(self, words: set[str]) -> None:
-        """Looks unseen words up in the automaton, all at once, and merges the rest."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY_WORDS:
+    def learn(self, chunks: set[str]) -> None:
+        """Looks the words of unseen chunks up in the automaton, all at once, and merges the rest."""
+        if self.held > MEMORY:
             self.known.clear()
-            new = list(words)
-        token = self.model.token
-        for w, number in zip(new, self.lexicon.numbers([w.encode() for w in new]).tolist(), strict=True):
+            self.words.clear()
+            self.held = 0
+        new = {c: self.model.pieces(c) for c in chunks if c not in self.known}
+        words = [w for w in {w for own in new.values() for w in own} if w not in self.words]
+        token, of = self.model.token, self.words
+        for w, number in zip(words, self.lexicon.numbers([w.encode() for w in words]).tolist(), strict=True):
             ids = self.lexicon.ids(number) if number >= 0 else self.model.ids(w)
-            self.known[w] = (" ".join(map(str, ids)), " ".join([token[i] for i in ids]))
+            of[w] = (" ".join(map(str, ids)), " ".join([token[i] for i in ids]), len(ids))
+            self.held += len(w) + 50
+        for c, own in new.items():
+            if len(own) == 1:
+                self.known[c] = of[own[0]]
+            else:
+                pairs = [of[w] for w in own]
+                self.known[c] = (" ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]), sum([p[2] for p in pairs]))
+            self.held += len(c) + 50
+
+    def encoded(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
+        """For each text its ids and tokens, joined by blanks, and their count."""
+        chunked = [self.model.chunks(t) if t else [] for t in texts]
+        self.learn(set().union(*chunked))
+        get = self.known.__getitem__
+        for chunks in chunked:
+            parts = [p for p in map(get, chunks) if p[2]]
+            yield " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids of one text and their decoding."""
-        pieces = self.model.pieces(text)
-        self.learn(set(pieces))
-        ids = [int(i) for w in pieces for i in self.known[w][0].split()]
-        return ids, " ".join([self.known[w][1] for w in pieces])
+        ids, decoded, _ = next(self.encoded([text]))
+        return [int(i) for i in ids.split()], decoded
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.model.token[i] for i in ids])
@@ -82,6 +116,7 @@ _codecs: dict[tuple, Codec] = {}
 def codec(path: str, blob: bytes) -> Codec:
     key = (path, len(blob), hash(blob))
     if key not in _codecs:
+        _codecs.clear()
         _codecs[key] = Codec(path, blob)
     return _codecs[key]
 
@@ -95,17 +130,12 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, blob.value)
-        known, pieces = c.known, c.model.pieces
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [pieces(t or "") for t in batch.column(1).to_pylist()]
-                c.learn(set().union(*texts))
                 counts, ids_sha, decoded_sha, ids, decodings = [], [], [], [], []
-                for words in texts:
-                    pairs = [known[w] for w in words]
-                    as_ids, decoded = " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
-                    counts.append(as_ids.count(" ") + 1 if as_ids else 0)
+                for as_ids, decoded, n in c.encoded(batch.column(1).to_pylist()):
+                    counts.append(n)
                     ids_sha.append(hashlib.sha256(as_ids.encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_ids:

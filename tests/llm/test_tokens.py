@@ -44,6 +44,36 @@ def test_round_trip(spark):
         assert ids == list(r.ids) and text == r.decoded == c.decode(ids)
 
 
+def test_long_words(spark, library):
+    """Merged by a heap, in rounds if short; both as the library does."""
+    import random
+
+    rng = random.Random(0)
+    model = bpe.load(tokenizer_path())
+    for n in (1, 2, 30, 200, 3000):
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "éßtheinonre"):
+            word = "".join(rng.choices(letters, k=n))
+            ids = [model.inner[b] for b in word.encode()[:-1]] + [model.last[word.encode()[-1]]]
+            assert model.joined_by_heap(ids) == model.joined(ids) == list(model.merge(word)) == library.encode(word, add_special_tokens=False).ids
+    rows = [(1, "".join(rng.choices("etaoinshrdlu", k=300_000)), None, None), (2, "x" * 200_000 + " y", None, None), (2, "z", None, None), (2, "z", None, None)]
+    got = sorted(tuple(r) for r in encoded(frame(spark, rows)).collect())
+    assert got == sorted((i, *want(library, t)) for i, t, *_ in rows)
+    assert sorted((r.doc_id, r.n_tokens) for r in counted(frame(spark, rows)).collect()) == sorted((i, want(library, t)[0]) for i, t, *_ in rows)
+
+
+def test_memory_starts_anew(spark, library, monkeypatch):
+    from peakloom.llm import op4_bpe_codec as O4
+    from peakloom.llm import op6_token_counts as O6
+
+    monkeypatch.setattr(O4, "MEMORY", 50)
+    monkeypatch.setattr(O6, "MEMORY", 50)
+    rows = corpus(4, 12)
+    c, n = Codec(tokenizer_path(), transducer.compiled({})), O6.Counts(tokenizer_path())
+    for _, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert c.encode(t or "") == (ids, library.decode(ids, skip_special_tokens=False)) and n.of(t) == len(ids)
+
+
 def test_queries(spark, tmp_path, library):
     rows = corpus(2, 15)
     sf = stored(spark, tmp_path, rows)
