@@ -11,7 +11,8 @@ documents. Neither labels nor language, source or id are features.
 
 Null and empty texts are one empty line and get the score that the model gives to it. Documents
 without a label are scored as any other; a document with several labels counts with the least. With
-no labels at all every score is 0.5. Repeated rows are scored each.
+no labels at all every score is 0.5. Repeated rows are scored each. Documents are worked on in blocks
+bounded by lines, so many long ones together take no more memory than one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod5, documents
 
+#: Lines (padded) of documents that are worked on together.
+CELLS = 100_000
 TRAIN_DOCS, STEPS, RATE, RIDGE, CUT = 3_000, 150, 0.1, 1e-3, 0.3
 OWN, NEAR = 12, 6
 FEATURES = OWN + 2 * (NEAR + 1)
@@ -65,12 +68,12 @@ class Field:
         self.weights, self.moves, self.curve = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
 
     def blocks(self, texts: list[np.ndarray], most: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Documents of like length together: their places, features padded to the longest, and the mask of lines."""
+        """Documents of like length together, of CELLS lines at most unless one alone has more: their places, features padded to the longest, and the mask of lines."""
         order = np.argsort([len(x) for x in texts], kind="stable")
         at = 0
         while at < len(order):
             stop = at + 1
-            while stop < len(order) and stop - at < most and len(texts[order[stop]]) <= 1.25 * len(texts[order[at]]) + 2:
+            while stop < len(order) and stop - at < min(most, CELLS // max(1, len(texts[order[stop]]))) and len(texts[order[stop]]) <= 1.25 * len(texts[order[at]]) + 2:
                 stop += 1
             here = order[at:stop]
             x = np.zeros((len(here), len(texts[here[-1]]), FEATURES))
@@ -163,9 +166,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [features(t) for t in batch.column(1).to_pylist()]
+            at = 0
+            while at < whole.num_rows:
+                texts, lines, first = [], 0, at
+                while at < whole.num_rows and at - first < 512 and lines < CELLS:
+                    texts.append(features(whole.column(1)[at].as_py()))
+                    lines, at = lines + len(texts[-1][1]), at + 1
+                batch = whole.slice(first, at - first)
                 mean, bad = field.value.quality(texts)
                 score = field.value.score(mean)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array([len(s) for _, s in texts], pa.int32()), pa.array(bad.astype(np.int32))], names=["doc_id", "held_out", "score", "predicted", "n_lines", "n_bad_lines"])

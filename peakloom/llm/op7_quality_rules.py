@@ -7,8 +7,8 @@ count per bin, merging is adding, and any quantile is within 1 % of the exact on
 group of fewer than LEAST rows takes its language's merged sketch, a small language the merged
 sketch of everything. Documents outside a fence are rejected by a join with the fences.
 
-Null text has no words and fails the base rule, as empty text does. Null language or source is
-a group of its own. Ties and repeated rows are counted each. Columns other than doc_id, text,
+Null text has no words and fails the base rule, as empty text does. Null language or source
+counts as the empty string, one group with it. Very long texts are measured whole. Ties and repeated rows are counted each. Columns other than doc_id, text,
 lang and source are not read.
 """
 
@@ -147,6 +147,6 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep."""
+    """The documents that the rules keep; null and empty texts go, as they have too few words. Of rows that share a doc_id all stay if one is kept. Further columns pass through."""
     good = judged(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(good, F.col("doc_id") == F.col("_kept_id"), "left_semi")

@@ -5,7 +5,8 @@ of both. Every distinct fingerprint therefore stands for all variants within tha
 are dealt by their leading bits, equal variants collide, and colliding fingerprints are verified
 and linked. Sending each variant would move 2081 rows a fingerprint. Instead a fingerprint is sent
 once to each variant range (leading bits) that its ball meets, and the range's task lists the
-variants that fall into it, slice by slice, so memory stays bounded.
+variants that fall into it, slice by slice, so memory stays bounded. A range with more than MOST
+fingerprints, as a large family of near copies makes it, is cut at further bits until it has not.
 
 Fingerprints that meet in one variant are all within the radius of one another, so a chain through
 them loses no connection; the task keeps a spanning forest of its links. Components of the forest
@@ -32,6 +33,8 @@ from .components import components
 RADIUS, BITS, SHINGLE, SEED = 4, 64, 4, 42
 #: Variants that one slice of a range's task holds at once.
 SLICE = 1 << 21
+#: Fingerprints that one range holds at most, bits by which a larger one is cut, and ranges whose prefixes are broadcast.
+MOST, DEEPER, SMALL = 50_000, 4, 100_000
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -97,8 +100,7 @@ def met(prefix: int, fps: np.ndarray, lead: int, radius: int = RADIUS) -> tuple[
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     full = sum(int((apart == k).sum()) * len(masks(rest, half - k)) for k in range(half + 1))
     # slices by bits below the prefix: each holds the variants with those bits
-    cut = max(0, int(np.ceil(np.log2(max(1, full / SLICE)))))
-    cut = min(cut, 12)
+    cut = min(rest, max(0, int(np.ceil(np.log2(max(1, full / SLICE))))))
     by_flips = [masks(rest, half - k) for k in range(half + 1)]
     for part in range(1 << cut):
         values, who = [], []
@@ -137,14 +139,24 @@ def met(prefix: int, fps: np.ndarray, lead: int, radius: int = RADIUS) -> tuple[
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, node -> u, v: edges between nodes that connect all fingerprints within the radius of one another."""
-    n = fps.count()
+    n, half = fps.count(), radius // 2
     lead = int(min(24, max(8, np.ceil(np.log2(max(1, n * 2081 / (2 * SLICE)))))))
-    flips = F.lit([int(m) for m in masks(lead, radius // 2)])
-    top = F.shiftrightunsigned("fp", BITS - lead)
-    dealt = fps.select("fp", "node", F.explode(flips).alias("m")).select(top.bitwiseXOR(F.col("m")).alias("prefix"), "fp", "node")
+    dealt = deepened(fps.select("fp", "node", F.lit(0).alias("lead"), F.lit(0).cast("long").alias("prefix")), 0, lead, half)
+    done: DataFrame | None = None
+    while True:  # ranges with too many fingerprints for one task are cut at further bits
+        dealt = written(dealt)
+        large = dealt.groupBy("prefix").count().where(F.col("count") > MOST).select("prefix")
+        m = 0 if lead + DEEPER > BITS - 8 else large.count()
+        if not m:
+            break
+        few = F.broadcast(large) if m <= SMALL else large
+        small = dealt.join(few, "prefix", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        dealt, lead = deepened(dealt.join(few, "prefix", "left_semi"), lead, lead + DEEPER, half), lead + DEEPER
+    dealt = dealt if done is None else done.unionByName(dealt)
 
     def run(table: pa.Table) -> pa.Table:
-        prefix = table.column("prefix")[0].as_py()
+        prefix, lead = table.column("prefix")[0].as_py(), table.column("lead")[0].as_py()
         fp, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
         order = np.argsort(node, kind="stable")
         fp, node = fp[order], node[order]
@@ -152,7 +164,17 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         edges = forest(a, b, len(fp))
         return pa.table({"u": pa.array([int(node[y]) for _, y in edges], pa.int64()), "v": pa.array([int(node[x]) for x, _ in edges], pa.int64())})
 
-    return dealt.groupBy("prefix").applyInArrow(run, "u long, v long")
+    return dealt.groupBy("lead", "prefix").applyInArrow(run, "u long, v long")
+
+
+def deepened(dealt: DataFrame, old: int, new: int, half: int) -> DataFrame:
+    """fp, node, lead, prefix by the `new` leading bits instead of the `old`: each fingerprint goes to every range that its ball of half the radius still meets."""
+    width = new - old
+    flips = F.lit([int(m) for m in masks(width, half)])
+    head = lambda bits: F.shiftrightunsigned("fp", BITS - bits) if bits else F.lit(0).cast("long")
+    used = F.bit_count(head(old).bitwiseXOR(F.col("prefix"))) + F.bit_count("m")
+    prefix = F.shiftleft("prefix", width).bitwiseOR(head(new).bitwiseAND((1 << width) - 1).bitwiseXOR(F.col("m")))
+    return dealt.withColumn("m", F.explode(flips)).where(used <= half).select("fp", "node", F.lit(new).alias("lead"), prefix.alias("prefix"))
 
 
 def classed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -169,6 +191,6 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of the smallest doc_id."""
+    """One document of each class stays: the one of the smallest doc_id (all rows of that id). Null and empty texts are one class; rows without a doc_id go. Further columns pass through."""
     lasting = classed(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(lasting, F.col("doc_id") == F.col("_kept_id"), "left_semi")

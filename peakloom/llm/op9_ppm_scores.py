@@ -13,6 +13,8 @@ Documents are dealt to groups of bounded size; a group sends its distinct string
 once each, with their counts in training texts to the strings' buckets; a bucket adds up and answers
 each group with the code lengths, in the order it asked. The unigram baseline's words go the same way.
 So a word in every document moves once a group, and neither trie nor word table is ever gathered.
+There are at most 65,536 buckets and only those asked are written to, so rows grow with the texts; the
+answers are written to the shared folder, and three sums of them go through the driver.
 
 Null texts count as empty; an empty text has one token, the end. Only doc_id and text are read;
 repeated rows are scored (and counted) each.
@@ -30,17 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchored import planes, unplanes
-from .common import buckets, crc_mod5, documents, written
+from .common import buckets, crc_mod5, documents, text_bytes_of, written
 
-ORDER, MOST = 5, 4_000_000
+ORDER = 5
 #: Bytes of a context that decide its bucket.
 NEAR = 2
 #: The byte before a text and after it; UTF-8 never has it.
 EDGE = 0xFF
 #: Bytes of text that a group should hold.
 GROUP_BYTES = 6 << 20
-#: Bytes counted or scored at once, and bytes after which a task sends what it has counted.
-PIECE, SEND = 4 << 20, 64 << 20
+#: Bytes counted or scored at once.
+PIECE = 4 << 20
+#: Bytes of text whose strings one bucket answers, in as many groups as they lie.
+BUCKET_BYTES = 32 << 20
 
 
 # --- the trie -----------------------------------------------------------------------------------
@@ -68,57 +72,32 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return code, np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(code)).astype(np.int64)
 
 
-def counted(docs: DataFrame, order: int) -> DataFrame:
-    """code, n over all texts. Tasks send what they have counted, packed by bucket of the code."""
-    n = buckets(docs.sparkSession)
-
-    def send(parts: list) -> pa.RecordBatch:
-        code, count = added(parts)
-        bucket = (code % 1_000_003) % n
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(n + 1))
-        packs = [planes(code[by[a:b]]) + planes(count[by[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "pack"])
+def near_strings(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of at most NEAR bytes of all texts, and their counts: at most 65,536 rows, added up before they reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, size, total = [], [], 0, 0
+        total = np.zeros(1 << 8 * NEAR, np.int64)
+        held, size = [], 0
+
+        def add() -> None:
+            total[:] += np.bincount(codes(held, NEAR - 1)[0], minlength=len(total))
+            held.clear()
+
         for batch in batches:
             column = batch.column(0)
             for i in range(batch.num_rows):
                 held.append(t := column[i].as_py())
-                size += len(t or "") + order + 1
+                size += len(t or "") + NEAR
                 if size >= PIECE:
-                    parts.append(np.unique(codes(held, order)[0], return_counts=True))
-                    held, total, size = [], total + size, 0
-                    if total >= SEND:
-                        yield send(parts)
-                        parts, total = [], 0
+                    add()
+                    size = 0
         if held:
-            parts.append(np.unique(codes(held, order)[0], return_counts=True))
-        if parts:
-            yield send(parts)
-
-    def add(table: pa.Table) -> pa.Table:
-        parts = []
-        for raw in table.column("pack").to_pylist():
-            m, view = len(raw) // 16, memoryview(raw)
-            parts.append((unplanes(view[: 8 * m], np.int64, m), unplanes(view[8 * m :], np.int64, m)))
-        code, total = added(parts)
-        return pa.table({"code": pa.array(code), "n": pa.array(total)})
+            add()
+        code = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
-    return docs.select("text").mapInArrow(count, "bucket int, pack binary").groupBy("bucket").applyInArrow(add, "code long, n long")
-
-
-def bounded(table: DataFrame, order: int = ORDER, most: int = MOST) -> tuple[np.ndarray, np.ndarray, int]:
-    """Codes, counts and order of the longest trie of at most `most` strings."""
-    table = written(table)
-    while order > 1 and table.count() > most:
-        order -= 1
-        table = written(table.groupBy(F.col("code").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("code")).agg(F.sum("n").alias("n")))
-    rows = table.toArrow()  # at most `most`
-    code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    by = np.argsort(code)
-    return code[by], n[by].astype(np.float64), order
+    rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    return rows.column("code").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
 
 
 def found(among: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,11 +291,11 @@ def asked(texts: Iterable[list[bytes]], train: list[bool], n: int) -> tuple[dict
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    n = buckets(spark)
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(crc_mod5() == 1, F.lit(False)).alias("held_out"))
-    near = bounded(counted(tagged.where("not held_out"), NEAR - 1), NEAR - 1)[:2]  # at most 65,536 strings
-    size = int(tagged.select(F.sum(F.octet_length("text"))).first()[0] or 0)
+    near = near_strings(tagged.where("not held_out"))
+    size = text_bytes_of(tagged)
+    ends = tagged.where("not held_out").count()
+    n = min(buckets(docs.sparkSession, -(-size // BUCKET_BYTES)), 1 << 8 * NEAR)
     groups = max(4, -(-size // GROUP_BYTES))
     dealt = tagged.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 
@@ -325,27 +304,31 @@ def scored(docs: DataFrame) -> DataFrame:
         train = [not x for x in table.column("held_out").to_pylist()]
         whole = table.column("text").to_pylist()
         _, asks = asked((words(t) for t in whole), train, n)
-        ends = sum(train)
-        strings = [planes(code) + planes(count.astype(np.uint32)) for code, count in asked_codes([t or "" for t in whole], train, n)]
-        packs = [np.array([len(h), ends], np.int64).tobytes() + planes(h) + planes(c) + own for (h, c), own in zip(asks, strings)]
-        return pa.table({"bucket": pa.array(range(n), pa.int32()), "grp": pa.array([grp] * n, pa.int32()), "pack": pa.array(packs, pa.binary())})
+        strings = asked_codes([t or "" for t in whole], train, n)
+        rows = [(b, np.int64(len(h)).tobytes() + planes(h) + planes(c) + planes(code) + planes(count.astype(np.uint32))) for b, ((h, c), (code, count)) in enumerate(zip(asks, strings)) if len(h) + len(code)]
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "grp": pa.array([grp] * len(rows), pa.int32()), "pack": pa.array([raw for _, raw in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        groups, hs, cs, ends, strings = table.column("grp").to_pylist(), [], [], 0, []
+        """To each group its numbers; and, without a group, the bucket's training words and distinct training words."""
+        groups, hs, cs, strings = table.column("grp").to_pylist(), [], [], []
         for raw in table.column("pack").to_pylist():
-            m, e = np.frombuffer(raw, np.int64, 2)
-            view = memoryview(raw)[16:]
-            hs.append(unplanes(view[: 8 * m], np.uint64, int(m)))
-            cs.append(unplanes(view[8 * m :], np.uint32, int(m)))
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            view = memoryview(raw)[8:]
+            hs.append(unplanes(view[: 8 * m], np.uint64, m))
+            cs.append(unplanes(view[8 * m :], np.uint32, m))
             strings.append(view[12 * m :])
-            ends += int(e)
         h, at = np.unique(np.concatenate(hs), return_inverse=True)
         total = np.bincount(at, np.concatenate(cs), minlength=len(h)).astype(np.uint64)
-        facts = np.array([int(total.sum()), int((total > 0).sum()), ends], np.int64).tobytes()
         cuts = np.cumsum([0, *map(len, hs)])
-        packs = [facts + planes(total[at[a:b]]) + own for a, b, own in zip(cuts[:-1], cuts[1:], answered(strings, near))]
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"grp": pa.array(groups, pa.int32()), "bucket": pa.array([bucket] * len(groups), pa.int32()), "pack": pa.array(packs, pa.binary())})
+        packs = [planes(total[at[a:b]]) + own for a, b, own in zip(cuts[:-1], cuts[1:], answered(strings, near))]
+        bucket = [table.column("bucket")[0].as_py()] * (len(groups) + 1)
+        facts = [[None] * len(groups) + [int(x)] for x in (total.sum(), (total > 0).sum())]
+        return pa.table([pa.array([*groups, None], pa.int32()), pa.array(bucket, pa.int32()), pa.array([*packs, None], pa.binary()), *(pa.array(x, pa.int64()) for x in facts)], names=["grp", "bucket", "pack", "tokens", "kinds"])
+
+    asks = dealt.groupBy("grp").applyInArrow(ask, "bucket int, grp int, pack binary")
+    answers = written(asks.groupBy("bucket").applyInArrow(answer, "grp int, bucket int, pack binary, tokens long, kinds long"))
+    facts = answers.where("grp is null").agg(F.sum("tokens"), F.sum("kinds")).first()
+    tokens, kinds_seen = int(facts[0] or 0) + ends, int(facts[1] or 0) + (ends > 0)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -354,15 +337,12 @@ def scored(docs: DataFrame) -> DataFrame:
         held = table.column("held_out").to_pylist()
         place, asks = asked(map(words, whole), [not x for x in held], n)
         strings = [code for code, _ in asked_codes([t or "" for t in whole], [not x for x in held], n)]
-        counts, values, total, distinct, ends = [], [], 0, 0, 0
-        for b, raw in enumerate(x for _, x in sorted(zip(answers.column("bucket").to_pylist(), answers.column("pack").to_pylist()))):
-            facts = np.frombuffer(raw, np.int64, 3)
-            total, distinct, ends = total + int(facts[0]), distinct + int(facts[1]), int(facts[2])
-            m, view = len(asks[b][0]), memoryview(raw)[24:]
+        counts, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        for b, raw in sorted(zip(answers.column("bucket").to_pylist(), answers.column("pack").to_pylist())):
+            m, view = len(asks[b][0]), memoryview(raw)
             counts.append(unplanes(view, np.uint64, m))
             values.append(unplanes(view[8 * m :], np.float32, len(strings[b])))
-        c = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
-        tokens, kinds_seen = total + ends, distinct + (ends > 0)
+        c = np.concatenate(counts).astype(np.float64)
         bottom = np.log10(tokens + 0.5 * (kinds_seen + 1))
         log, known = np.log10(c + 0.5), (c > 0).astype(np.int64)
         table_of = Table(np.concatenate(strings), np.concatenate(values))
@@ -375,9 +355,8 @@ def scored(docs: DataFrame) -> DataFrame:
         cols = [table.column("doc_id").to_pylist(), held, n_tokens, n_known, [tokens] * len(whole), base, total_scores(whole, ORDER, table_of)]
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
-    asks = dealt.groupBy("grp").applyInArrow(ask, "bucket int, grp int, pack binary")
-    answers = asks.groupBy("bucket").applyInArrow(answer, "grp int, bucket int, pack binary")
-    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = answers.where("grp is not null").select("grp", "bucket", "pack")
+    return dealt.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,25 @@ def test_links_of_chains(spark, monkeypatch):
     assert {r.node: r.component for r in components(O8.links(df)).collect()} == want
 
 
+def test_a_large_family_is_cut_at_further_bits(spark, monkeypatch):
+    """Near copies of one fingerprint share its leading bits: their range is split until it is small."""
+    monkeypatch.setattr(O8, "MOST", 10)
+    rng = random.Random(8)
+    base, fps = rng.getrandbits(64), {}
+    for i in range(60):
+        f = base ^ (rng.getrandbits(64) if i % 10 == 0 else 0)
+        for b in rng.sample(range(64), rng.randrange(0, 7)):
+            f ^= 1 << b
+        fps[i] = f
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    least = {}
+    for i, f in sorted(fps.items()):
+        least.setdefault(f, i)
+    df = spark.createDataFrame([(signed(f), i) for f, i in least.items()], "fp long, node long")
+    want = linked({i: f for f, i in least.items()})
+    assert {r.node: r.component for r in components(O8.links(df)).collect()} == {i: c for i, c in want.items() if i != c}
+
+
 @pytest.mark.parametrize("size", [1 << 21, 4000])
 def test_slices_find_the_same(monkeypatch, size):
     monkeypatch.setattr(O8, "SLICE", size)
@@ -264,30 +283,32 @@ def test_ppm(spark):
         assert r.score == pytest.approx(sum(log(b[p - K : p], b[p]) for p in range(K, len(b))), rel=1e-5)
 
 
-def test_ppm_lowers_its_order_to_the_bound(spark):
-    docs = spark.createDataFrame([(t,) for _, t, *_ in corpus(0, 20)], "text string")
-    whole = O9.counted(docs, 5)
-    n = {}
-    for k in range(1, 6):
-        code, count, order = O9.bounded(O9.counted(docs, k), k)
-        assert order == k
-        n[k] = (len(code), int(count.sum()))
-    assert len({c for _, c in n.values()}) == 1
-    code, _, order = O9.bounded(whole, 5, n[3][0])
-    assert order == 3 and len(code) == n[3][0]
+def test_ppm_of_empty_and_short_texts(spark):
     assert O9.scored(frame(spark, [])).count() == 0
     one = O9.scored(frame(spark, [(1, None, None, None), (2, "a", None, None)])).collect()
     assert {r.doc_id: r.n_tokens for r in one} == {1: 1, 2: 2}
 
 
-def test_ppm_scores_do_not_depend_on_a_bound(spark, monkeypatch):
-    rows = corpus(0, 20)
-    whole = O9.Model(*O9.bounded(O9.counted(spark.createDataFrame([(t,) for i, t, *_ in rows if crc(i) % 5 != 1], "text string"), O9.ORDER)))
-    monkeypatch.setattr(O9.bounded, "__defaults__", (O9.ORDER, 300))  # fewer than the strings of these texts
-    texts = {i: t for i, t, *_ in rows}
-    got = {r.doc_id: r.score for r in O9.scored(frame(spark, rows)).collect()}
-    for i, t in texts.items():
-        assert got[i] == pytest.approx(float(whole.log(O9.codes([t], O9.ORDER)[0]).sum()), rel=1e-6)
+def test_ppm_scores_do_not_depend_on_groups_and_buckets(spark, monkeypatch):
+    """The model of all texts at once gives the same scores as any dealing of groups and buckets; repeated rows are scored each."""
+    rows = corpus(0, 20) + [(4, "once more", None, None)] * 2
+    train = [t for i, t, *_ in rows if crc(i) % 5 != 1]
+    code, n = np.unique(O9.codes(train, O9.ORDER)[0], return_counts=True)
+    whole = O9.Model(code, n.astype(np.float64), O9.ORDER)
+    want = sorted(float(whole.log(O9.codes([t], O9.ORDER)[0]).sum()) for _, t, *_ in rows)
+    for size, share in ((1 << 10, 1 << 9), (1 << 30, 1 << 30)):
+        monkeypatch.setattr(O9, "GROUP_BYTES", size)
+        monkeypatch.setattr(O9, "BUCKET_BYTES", share)
+        got = O9.scored(frame(spark, rows)).collect()
+        assert sorted(r.score for r in got) == pytest.approx(want, rel=1e-6)
+        assert [r.doc_id for r in got].count(4) == [i for i, *_ in rows].count(4)
+
+
+def test_near_strings_are_counted_in_all_texts(spark):
+    texts = [t for _, t, *_ in corpus(0, 20)]
+    code, n = O9.near_strings(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = np.unique(O9.codes(texts, O9.NEAR - 1)[0], return_counts=True)
+    assert (code == want[0]).all() and (n == want[1]).all()
 
 
 # --- 10
