@@ -3,15 +3,16 @@
 Language, source and size are quantised to BITS bits each; their index on a three-dimensional
 Hilbert curve orders the rows, so that a run of the order covers a compact box of the three and
 file-level minima and maxima prune on any of them. The order is cut into runs whose row counts
-differ by one at most (law `rows`).
+differ by one at most (law `rows`). Language and source are quantised by a dictionary: the most
+frequent values have a cell each, by rank (ties by value), the others share the last one.
 
-Rows are sorted by range partitions on (curve, hash of text, doc_id): a cell that holds a third
-of all rows is split over many tasks, and equal texts of one cell lie side by side. A row's place
+Rows are sorted by range partitions on (curve, checksum of text, size, doc_id): a cell that holds a
+third of all rows is split over many tasks, and equal texts of one cell lie side by side. A row's place
 is its place in its partition plus the rows of the partitions before; only one count a partition
-is ever brought together.
+and the dictionaries (BITS bits each) are ever brought together.
 
 Null text has size 8 and the checksum of no bytes; null language or source quantises to 0. Equal
-rows are placed each. An empty table gives no rows.
+rows are placed each, in any order among themselves. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,20 +61,29 @@ def curve(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
     return F.element_at(table, ((x * n + y) * n + z + 1).cast("int"))
 
 
+def coded(docs: DataFrame, column: str) -> Column:
+    """The value's cell: 0 for null, its rank by frequency from 1, the last cell for all others. The dictionary has less than 2**BITS rows."""
+    last = (1 << BITS) - 1
+    top = docs.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(last - 1).collect()
+    out = F.when(F.col(column).isNull(), 0)
+    for rank, row in enumerate(top):
+        out = out.when(F.col(column) == row.v, rank + 1)
+    return out.otherwise(last).cast("int")
+
+
 def placed(docs: DataFrame, shards: int = SHARDS, tasks: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the quantised dimensions."""
     cells = (1 << BITS) - 1
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    coded = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(cells)) + 1).cast("int")
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"), coded("lang").alias("q_lang"), coded("source").alias("q_source"),
+        coded(docs, "lang").alias("q_lang"), coded(docs, "source").alias("q_source"),
         F.least(F.floor(F.log2(size.cast("double"))) - 3, F.lit(cells)).cast("int").alias("q_size"),
     ).withColumn("curve", curve(F.col("q_lang"), F.col("q_source"), F.col("q_size")))
-    order = ["curve", "_text", "doc_id"]
+    order = ["curve", "text_crc32", "size", "doc_id"]
     dealt = narrow.repartitionByRange(tasks or buckets(docs.sparkSession), *order).sortWithinPartitions(*order)
     # the id holds the partition above bit 33 and the place below; written, so that it is drawn once
-    fixed = written(dealt.withColumn("_at", F.monotonically_increasing_id()).drop("_text"))
+    fixed = written(dealt.withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     runs = fixed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # a row a partition
     w = Window.orderBy("_part")

@@ -1,6 +1,7 @@
 """Operators 2, 3, 7, 8, 9 and 10, and the pipeline."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -36,6 +37,21 @@ def test_crf_separates_held_out_labels(spark):
     assert sum(p == q for p, q in held) >= 0.95 * len(held)
 
 
+def test_crf_of_awkward_rows_with_a_trained_model(spark, monkeypatch):
+    """Nulls, empty and very long texts, repeated ids, several labels, clashing columns; blocks by lines give the same scores as one by one."""
+    good = lambda i: "\n".join(f"This is line {k} of a calm text, number {i}, that says something." for k in range(4))
+    bad = lambda i: "\n".join("$$$ BUY!!! *** NOW &&& " + "X" * (k + i % 3) for k in range(5))
+    rows = [(i, (good if i % 2 else bad)(i), "en", "s") for i in range(60)] + [(100, None, None, None), (101, "", None, None), (7, good(7), None, None), (102, good(3) + "\n$$$ !!!\n" * 30_000, None, None)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(7, 0, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    want = sorted((r.doc_id, round(r.score, 9)) for r in O2.scored(frame(spark, rows), labels).collect())
+    assert len(want) == len(rows) and all(0 <= s <= 1 for _, s in want) and [i for i, _ in want].count(7) == 2
+    assert all((s >= 0.3) == bool(i % 2) for i, s in want if i < 60 and i != 7)
+    monkeypatch.setattr(O2, "CELLS", 7)
+    again = sorted((r.doc_id, r.score) for r in O2.scored(frame(spark, rows), labels).collect())
+    assert [s for _, s in again] == pytest.approx([s for _, s in want], abs=1e-3)  # training adds up in another order
+    assert {r.score for r in O2.scored(frame(spark, rows), labels.limit(0)).collect()} == {0.5}
+
+
 def test_crf_marginals_are_exact():
     f = O2.Field()
     rng = np.random.default_rng(0)
@@ -87,6 +103,28 @@ def test_shards(spark):
     assert sorted((r.shard, r.slot) for r in O3.placed(frame(spark, rows[:3])).collect()) == [(0, 0), (8, 0), (16, 0)]
 
 
+def test_a_box_touches_few_shards(spark):
+    """Files hold runs of the curve: a predicate on language, source or both prunes most of them by minimum and maximum."""
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(1, 400), rng.choice(["en", "de", "fr", "es"]), rng.choice(["s0"] * 5 + ["s1", "s2", "s3", "s4", "s5"])) for i in range(3000)]
+    out = O3.placed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), tasks=5).collect()
+    cell = {(rows[r.doc_id][2], rows[r.doc_id][3]): (r.q_lang, r.q_source) for r in out}
+    assert len(set(cell.values())) == 24  # values don't share cells
+    low = {s: [min(getattr(r, q) for r in out if r.shard == s) for q in ("q_lang", "q_source")] for s in range(24)}
+    high = {s: [max(getattr(r, q) for r in out if r.shard == s) for q in ("q_lang", "q_source")] for s in range(24)}
+    touched = lambda box: sum(all(v is None or low[s][k] <= v <= high[s][k] for k, v in enumerate(box)) for s in range(24))
+    for lang in ("en", "de", "fr", "es"):
+        assert touched((cell[lang, "s0"][0], None)) <= 16
+        for source in ("s1", "s4"):
+            assert touched((None, cell[lang, source][1])) <= 14 and touched(cell[lang, source]) <= 8
+
+
+def test_rare_values_share_the_last_cell(spark):
+    rows = [(i, "x", f"l{i % 40}" if i % 2 else "en", None) for i in range(200)]
+    out = O3.placed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.q_lang for r in out} == set(range(1, 16)) and {r.q_lang for r in out if rows[r.doc_id][2] == "en"} == {1} and {r.q_source for r in out} == {0}
+
+
 def test_shards_query(spark):
     assert O3.op3_hilbert_shards(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
@@ -369,6 +407,35 @@ def test_leaks_are_the_planted_ones(spark):
     assert got == {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
 
 
+def test_reparameterised_questions_are_found(spark):
+    """Planted: items with other numbers and names, in documents of other words. Nine in ten at least are found, and no document without one."""
+    rng = random.Random(11)
+    names, things = ["Anna", "Boris", "Clara", "David", "Elena", "Felix"], ["pens", "books", "apples", "tickets", "bottles", "chairs"]
+    shapes = [
+        "When {a} buys {n} {t} for {m} dollars each and then gives {k} of them to {b}, how much money did the rest cost",
+        "A train with {n} seats leaves at noon and {a} waits {m} minutes for it; after {k} km it meets the slow train that {b} took, so how far is the town",
+        "Last summer {a} planted {n} rows of {t} in the garden and {b} watered {m} of them with {k} litres, what share stayed dry",
+        "If {a} reads {n} pages on the first day and {m} pages on every day after that, on which day does {b} who reads {k} pages a day fall behind",
+    ]
+    fill = lambda s: s.format(a=(p := rng.sample(names, 2))[0], b=p[1], n=rng.randrange(10, 99), m=rng.randrange(10, 99), k=rng.randrange(10, 99), t=rng.choice(things))
+    items = [(i, fill(s)) for i, s in enumerate(shapes)]
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(400)]
+    text = lambda k: " ".join(rng.choices(words, k=k)) + ". "
+    same = lambda s, item: fill(s.replace("{t}", next((t for t in things if t in item), "")))
+    docs = [(i, text(30) + same(shapes[i % 4], items[i % 4][1]) + "? " + text(30)) for i in range(80)] + [(1000 + i, text(120)) for i in range(40)]
+    got = leaked(spark, docs, items)
+    assert sum((i, i % 4) in got for i in range(80)) >= 72 and all(d < 1000 and d % 4 == i for d, i in got)
+
+
+def test_leaks_with_clashing_columns_and_long_texts(spark):
+    text = "word after word " * 20_000 + ITEM + " and on " * 5000
+    docs = frame(spark, [(1, text, None, None), (2, None, None, None), (2, ITEM, None, None)])
+    for c in ("item_id", "w", "slots", "runs", "best", "n"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string").withColumn("doc_id", F.lit("clash")).withColumn("n", F.lit("clash")).withColumn("h", F.lit("clash"))
+    assert {(r.doc_id, r.item_id) for r in O10.leaks(docs, items).collect()} == {(1, 7), (2, 7)}
+
+
 def test_leaks_run_on_the_jvm(spark):
     plan = O10.op10_template_leaks(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
@@ -377,23 +444,100 @@ def test_leaks_run_on_the_jvm(spark):
 # --- pipeline
 
 
-def test_pipeline(spark):
+def by_hand(spark, sf):
+    """The pipeline's rows by other means: rules in SQL, classes by comparing all pairs, brute-force strings, plain search of the items' words, the tokenizers library."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    from peakloom.llm.op4_bpe_codec import tokenizer_path
+    from peakloom.llm.queries import SQL
+
+    from .common import brute_bytes, sha
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet{'/*.parquet' if os.path.isdir(f'{sf}/documents.parquet') else ''}')")
+    rel = c.sql(SQL["op7_quality_rules"])
+    kept = {r[rel.columns.index("doc_id")] for r in rel.fetchall() if r[rel.columns.index("kept")]}
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.doc_id in kept}
+    steps = [set(rows)]
+    label = linked({i: brute_print(t) for i, t in rows.items()})
+    rows = {i: t for i, t in rows.items() if label[i] == i}
+    steps.append(set(rows))
+    gone = {i: bytearray(len((t or "").encode())) for i, t in rows.items()}
+    seen = set()
+    for i in sorted(rows):
+        b = rows[i].encode()
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[i][s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+    assert {i: sum(g) for i, g in gone.items()} == {i: x[1] for i, x in brute_bytes(list(rows.items())).items()}
+    rows = {i: bytes(x for x, g in zip(t.encode(), gone[i]) if not g).decode("utf-8", "ignore") for i, t in rows.items()}
+    steps.append(dict(rows))
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    items = [words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text]
+    windows = [[" ".join(x[k : k + 8]) for k in range(len(x) - 7)] for x in items]
+
+    def leaks(text):
+        own = words(text)
+        held = {" ".join(own[k : k + 8]) for k in range(len(own) - 7)}
+        for x, w in zip(items, windows):
+            at = {j for k, y in enumerate(w) if y in held for j in range(k, k + 8)}
+            if len(at) >= 13 or len(at) >= 0.5 * len(x):
+                return True
+        return False
+
+    rows = {i: t for i, t in rows.items() if not leaks(t)}
+    steps.append(set(rows))
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    out = {}
+    for i, t in rows.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        out[i] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha(library.decode(ids, skip_special_tokens=False).encode()))
+    return steps, out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "own"])
+def test_pipeline(spark, tmp_path, sf):
+    """Every stage and run() against brute force."""
     import corpus_pipeline as P
 
+    if sf == "own":
+        rng = random.Random(3)
+        item = "which of the seven old bridges over the long river was built before the great flood came"
+        vocab = ["".join(rng.choices("abcdefghijklmno", k=rng.randrange(2, 8))) for _ in range(300)]
+        text = lambda k: " ".join(rng.choices(vocab, k=k))
+        passage = text(40)
+        texts = [text(80) for _ in range(30)] + [None, "", "short one"] + [text(50) + " " + passage + " " + text(50) for _ in range(6)] + [text(60) + " " + item + " " + text(60)]
+        texts += [texts[0], texts[3], text(20_000), "x " * 3000]
+        folder = stored(spark, tmp_path, [(i, t, rng.choice(["en", None]), rng.choice(["s0", None])) for i, t in enumerate(texts)], benchmark=[(1, item), (2, None)])
+    else:
+        folder = SF
     assert [n for n, _ in P.STAGES] == ["quality_rules", "simhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "bpe_codec"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    kept = {r.doc_id for r in O7.op7_quality_rules(spark, SF).where("kept").collect()}
-    label = linked({i: brute_print(rows[i]) for i in kept})
-    kept = {i for i in kept if label[i] == i}
-    from peakloom.llm.op1_suffix_dedup import trimmed
-
-    cut = {r.doc_id: r.n_removed for r in trimmed(docs.where(F.col("doc_id").isin(*kept))).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    steps, want = by_hand(spark, folder)
     seen = docs
-    for name, stage in P.STAGES[:3]:
-        seen = stage(spark, seen, SF)
+    for k, (name, stage) in enumerate(P.STAGES[:4]):
+        seen = stage(spark, seen, folder).cache()
         assert seen.columns == docs.columns, name
-    after = {r.doc_id: r.text for r in seen.collect()}
-    assert set(after) == kept and all(len(rows[i].encode()) - len(t.encode()) >= cut[i] and (cut[i] or t == rows[i]) for i, t in after.items())
-    out = {r.doc_id: r.n_tokens for r in P.run(spark, SF).collect()}
-    assert set(out) <= kept and len(out) >= 0.9 * len(kept)
+        got = {r.doc_id: r.text for r in seen.collect()}
+        assert len(got) == seen.count() and (got == steps[k] if k == 2 else set(got) == steps[k]), name
+    assert {r.doc_id: tuple(r)[1:] for r in P.run(spark, folder).collect()} == want and want
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    """Nulls in every column, empty tables, repeated ids and columns that clash: each stage but the last keeps the columns, and rows as its docstring says."""
+    import corpus_pipeline as P
+
+    long = "The words of this text differ from one another, so " + " ".join(f"w{i} goes to x{i * 7 % 101}," for i in range(40))
+    rows = [(None, long, None, None), (1, None, None, None), (2, "", "en", "s"), (3, long, "en", "s"), (3, long, "en", "s"), (4, long[::-1], None, "s"), (4, long.upper(), "en", None)]
+    sf = stored(spark, tmp_path, rows[:1], benchmark=[])
+    for name, stage in P.STAGES[:4]:
+        out = stage(spark, frame(spark, rows), sf)
+        assert out.schema.names == frame(spark, rows).schema.names
+        ids = [r.doc_id for r in out.collect()]
+        assert set(ids) <= {None, 1, 2, 3, 4} and ids.count(3) in ((2,) if name != "quality_rules" else (0, 2)), name
+        assert stage(spark, frame(spark, []), sf).count() == 0, name
+    assert P.STAGES[4][1](spark, frame(spark, rows), sf).count() == len(rows)
