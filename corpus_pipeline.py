@@ -15,7 +15,7 @@ from peakloom.llm.op10_template_leaks import leak_stage
 
 
 def codec_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids' and decodings' digests of what is left."""
+    """Token ids' and decodings' digests of what is left: a row per document with the columns of op4. Null and empty texts have no tokens; repeated ids keep their rows; an empty table gives none; other columns are not read."""
     return encoded(docs)
 
 
