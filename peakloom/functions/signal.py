@@ -19,33 +19,28 @@ def centroids(mz: np.ndarray, intensity: np.ndarray, resolution: float, min_mz:
     return mz[first], intensity[first]
 
 
-#: Spacings of isotope peaks for charges 1 to 4, and the spacing below which a pair is noise.
-SPACINGS, NOISE_GAP = ((0.95, 1.05), (0.45, 0.55), (0.30, 0.36), (0.24, 0.26)), 0.23
+#: Spacings of isotope peaks for charges 1 to 4 (both ends open), the spacing below which a pair is noise, and how often noise may outnumber isotopes.
+SPACINGS, NOISE_GAP, NOISE_RATIO = ((0.95, 1.05), (0.45, 0.55), (0.30, 0.36), (0.24, 0.26)), 0.23, 2.0
 
 
-def background_level(mz: np.ndarray, intensity: np.ndarray, steps: int = 20, share: float = 0.7) -> float:
-    """The least intensity level, in `steps` up to the `share` quantile, above which isotope-like pairs outnumber noise-like ones by more than 1 to 2."""
-    if len(mz) < 3:
+def background_level(mz: np.ndarray, intensity: np.ndarray, steps: int = 20, share: float = 0.7, least: int = 10) -> float:
+    """The least level, in `steps` from the least intensity to the one at `share` of the sorted ones, at which neighbouring peaks above it that are spaced like falling isotopes are more than half as many as those too close together; the last one if none is.
+
+    Scans of fewer than `least` points, or without spread, have none (0). The first point of a scan is not looked at. One pass of the neighbours a level.
+    """
+    if len(mz) < least:
+        return 0.0
+    rising = np.sort(intensity)
+    low, top = float(rising[0]), float(rising[int(len(rising) * share)])
+    if top <= low + 0.001:
         return 0.0
-    level = 0.0
-    top = np.quantile(intensity, share)
-    for k in range(steps):
-        level = top * k / steps
-        keep = intensity > level
-        m, i = mz[keep], intensity[keep]
-        signal = noise = 0
-        for a in range(len(m)):
-            b = a + 1
-            while b < len(m) and m[b] - m[a] <= 1.05:
-                gap = m[b] - m[a]
-                if gap < NOISE_GAP:
-                    noise += 1
-                elif i[b] < i[a] and any(lo <= gap <= hi for lo, hi in SPACINGS):
-                    signal += 1
-                b += 1
-        if noise < 2 * signal:
+    for level in low + (top - low) / steps * np.arange(steps):
+        above = np.nonzero(intensity[1:] > level)[0] + 1
+        gap, falls = np.diff(mz[above]), intensity[above][:-1] > intensity[above][1:]
+        isotopes = sum(int((falls & (gap > a) & (gap < b)).sum()) for a, b in SPACINGS)
+        if (gap < NOISE_GAP).sum() < NOISE_RATIO * isotopes:
             return float(level)
-    return float(level)
+    return top
 
 
 def constant_background(intensity: np.ndarray) -> float:

@@ -34,6 +34,13 @@ def write_mgf(spectra: DataFrame, path: str) -> DataFrame:
     return t.select("run", "tier", "n", "spectrum_id")
 
 
+def read_bridge(bridge: DataFrame, path: str) -> DataFrame:
+    """run, tier, scan_num, spectrum_id from the mapping beside an MGF folder, written there first if it isn't yet. Numbers are those of the titles, so none has to be moved when runs are put together."""
+    at = f"{path}_mapping"
+    done = checkpointed(lambda: bridge, at, bridge.sparkSession)
+    return done.select("run", "tier", F.col("n").cast("long").alias("scan_num"), "spectrum_id")
+
+
 def write_pepxml(hits: DataFrame, path: str) -> None:
     """run, scan_num, sequence, charge, mass, probability, protein -> spectrum queries."""
     q = hits.select(
