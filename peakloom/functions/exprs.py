@@ -164,3 +164,44 @@ def sub_range(points: C, lo: float, hi: float) -> Column:
 
 def time_tag(ts: Column | None = None) -> Column:
     return F.date_format(ts if ts is not None else F.current_timestamp(), "yyyyMMdd_HHmmss")
+
+
+def precursor_gate(mass: C, lo: float, hi: float, defect: float | None = None) -> Column:
+    """Whether a neutral mass lies in the range and, with a defect offset, its fraction in the peptides' band."""
+    inside = col(mass).between(lo, hi)
+    return inside if defect is None else inside & in_defect_range(mass, defect)
+
+
+def fragment_fits(mz: C, defect: float) -> Column:
+    """Whether the fraction fits a peptide fragment's at charge 1 or 2."""
+    return in_defect_range(neutral_mass(mz, F.lit(1)), defect) | in_defect_range(neutral_mass(mz, F.lit(2)), defect)
+
+
+def to_base_peak(points: C) -> Column:
+    """struct<x, y> points with heights relative to the greatest, unchanged where that is 0 or less."""
+    top = F.array_max(F.transform(col(points), lambda p: p["y"]))
+    return F.transform(col(points), lambda p: F.struct(p["x"].alias("x"), F.when(top > 0, p["y"] / top).otherwise(p["y"]).alias("y")))
+
+
+def closest_point(points: C, x: C) -> Column:
+    """The point nearest to x, of two the lower one; null of none."""
+    ranked = F.transform(col(points), lambda p: F.struct(F.abs(p["x"] - col(x)).alias("d"), p["x"].alias("x"), p["y"].alias("y")))
+    best = F.array_min(ranked)
+    return F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y")))
+
+
+def neighbours(points: C, x: C) -> Column:
+    """The last point at or below x and the first above it."""
+    return F.struct(F.array_max(F.filter(col(points), lambda p: p["x"] <= col(x))).alias("lower"), F.array_min(F.filter(col(points), lambda p: p["x"] > col(x))).alias("higher"))
+
+
+def points_in_time(rt: C, intensity: C, lo: C, hi: C) -> Column:
+    """Of two arrays the points with lo <= rt <= hi, as struct<rt, intensity>."""
+    return F.filter(F.transform(F.arrays_zip(col(rt).alias("rt"), col(intensity).alias("intensity")), lambda p: F.struct(p["rt"].alias("rt"), p["intensity"].alias("intensity"))), lambda p: p["rt"].between(col(lo), col(hi)))
+
+
+def modified_sequence(sequence: C, mods: C) -> Column:
+    """The sequence with each modification's key put before its residue. mods: array of struct<position (from 1), mass>; several of one residue in order of mass."""
+    letters = F.filter(F.split(col(sequence), ""), lambda x: x != "")
+    keys = lambda i: F.array_join(F.transform(F.array_sort(F.filter(col(mods), lambda m: m["position"] == i + 1)), lambda m: modification_key(m["mass"], F.substring(col(sequence), m["position"], F.lit(1)))), "")
+    return F.array_join(F.transform(letters, lambda c, i: F.concat(keys(i), c)), "")

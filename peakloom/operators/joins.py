@@ -81,12 +81,54 @@ def asof_join(left: DataFrame, right: DataFrame, x: str, y: str, value: list[str
     return both.withColumn("_got", got).where("_left").select(*left.columns, F.col(f"_got.{y}").alias(y), *[F.col(f"_got.{v}").alias(v) for v in value])
 
 
-def ceiling_lookup(left: DataFrame, table: DataFrame, x: str, key: str, value: list[str]) -> DataFrame:
-    """The table row of the least key >= x, else of the greatest key. For a small table: its rows become ranges."""
-    w = Window.orderBy(key)
-    ranges = table.select(F.col(key), *value, F.lag(key).over(w).alias("_below"), F.lead(key).over(w).alias("_above"))
-    on = (F.col(x) > F.coalesce(F.col("_below"), F.lit(float("-inf")))) & ((F.col(x) <= F.col(key)) | F.col("_above").isNull())
-    return left.join(F.broadcast(ranges), on, "left").drop("_below", "_above")
+#: Rows of a table that a lookup sends to all tasks.
+SMALL = 10_000
+
+
+def ceiling_lookup(left: DataFrame, table: DataFrame, x: str, key: str, value: list[str], small: int = SMALL) -> DataFrame:
+    """The table row of the least key >= x, else of the greatest key; null x finds nothing.
+
+    A table of at most `small` rows is sent to all tasks as a sorted list of keys and searched there by halves, without a join; a larger
+    one becomes ranges that are joined by bins of about ten keys.
+    """
+    rows = table.select(key, *value).limit(small + 1).count()
+    if rows <= small:
+        items = F.broadcast(table.agg(F.array_sort(F.collect_list(F.struct(key, *value))).alias("_items")))  # one row of `small` items
+        found = left.crossJoin(items)
+        place = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, rows).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(rows).alias("hi")), lambda s, _: _half(s, F.col("_items"), key, F.col(x)))
+        hit = F.when(F.col(x).isNotNull(), F.try_element_at("_items", F.least(place["lo"], F.lit(rows - 1)) + 1)) if rows else F.lit(None)
+        if not rows:
+            return left.select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in (key, *value)])
+        return found.withColumn("_hit", hit).select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in (key, *value)])
+    ends = table.agg(F.min(key), F.max(key)).first()
+    w = Window.partitionBy("_bin").orderBy(key)
+    width = max((float(ends[1]) - float(ends[0])) / table.count() * 10, 1e-9)
+    bins = table.withColumn("_bin", bin_of(F.col(key), width))
+    firsts = bins.groupBy("_bin").agg(F.max(key).alias("_top"))  # a row a bin
+    order = Window.orderBy("_bin")
+    below = F.coalesce(F.lag(key).over(w), F.col("_before"))
+    ranges = bins.join(firsts.select("_bin", F.lag("_top").over(order).alias("_before")), "_bin").select(key, *value, F.coalesce(below, F.lit(ends[0])).alias("_below"))
+    clamped = left.withColumn("_x", F.greatest(F.least(F.col(x), F.lit(ends[1])), F.lit(ends[0])))
+    hit = range_join(clamped, ranges, "_x", "_below", key, width, how="left")
+    return hit.where((F.col("_x") > F.col("_below")) | (F.col(key) == F.col("_below")) | F.col(key).isNull()).drop("_x", "_below")
+
+
+def _half(s: Column, items: Column, key: str, x: Column) -> Column:
+    """One step of a search by halves for the number of keys below x."""
+    middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    below = (s["lo"] < s["hi"]) & (F.try_element_at(items, middle + 1)[key] < x)
+    return F.struct(F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(middle).alias("hi"))
+
+
+def in_blocks(left: DataFrame, right: DataFrame, pairs, small: int = SMALL) -> DataFrame:
+    """All pairs of a stated set `right` and every row of `left` that `pairs(joined)` keeps: right goes to all tasks in blocks of about `small` rows, so no task holds more of it."""
+    n = max(1, -(-right.count() // small))
+    out = None
+    for k in range(n):
+        block = right if n == 1 else right.where(F.pmod(F.xxhash64(*right.columns), F.lit(n)) == k)
+        part = pairs(left.crossJoin(F.broadcast(block)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def nearest_join(left: DataFrame, right: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -23,6 +23,14 @@ def modification_table(spark: SparkSession, extra: list[tuple[str, str, float]]
     return spark.createDataFrame([(n, s, m) for n, sites, m in [*MODIFICATIONS, *extra] for s in sites], "name string, site string, massdiff double")
 
 
+def read_modifications(spark: SparkSession, path: str) -> DataFrame:
+    """name, site, massdiff of a user's registry in XML: elements `ptm` with name, mass and residues; sites may be N-term and C-term."""
+    schema = "_name string, _mass double, _residues string"
+    m = spark.read.format("xml").option("rowTag", "ptm").schema(schema).load(path)
+    sites = F.when(F.col("_residues").rlike("(?i)term$"), F.array("_residues")).otherwise(F.filter(F.split("_residues", ""), lambda x: x.rlike("[A-Z]")))
+    return m.select(F.col("_name").alias("name"), F.explode(sites).alias("site"), F.col("_mass").alias("massdiff"))
+
+
 def enzyme_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ENZYMES, "enzyme string, cuts_after string, unless_before string")
 

@@ -28,20 +28,20 @@ def best(df: DataFrame, by: list[str], order: Column, keep: list[str]) -> DataFr
 
 
 def running_counts(df: DataFrame, score: str, decoy: str, tie: str, bins: int = 1000) -> DataFrame:
-    """pos, neg: targets and decoys down to each row by falling score (in 0..1), ties by `tie`; previous: the score above.
+    """A row a distinct score (in 0..1): pos, neg, the targets and decoys down to the first of its rows (ties by `tie`), and previous, the score above.
 
-    Counts per score bin are summed over a table of at most `bins` + 1 rows; only rows of one bin meet in one task.
+    Rows of one score are added up before any order is made, so scores that pile up cost a row. Counts per score bin are summed over a
+    table of at most `bins` + 1 rows; only the distinct scores of one bin meet in one task.
     """
-    b = F.floor(F.col(score) * bins).cast("int")
-    binned = df.withColumn("_b", b)
-    totals = binned.groupBy("_b").agg(F.sum((~F.col(decoy)).cast("long")).alias("_p"), F.sum(F.col(decoy).cast("long")).alias("_n"), F.min(score).alias("_least"))
+    one = F.col(decoy).cast("long")
+    scores = df.groupBy(score).agg(F.sum(1 - one).alias("_p"), F.sum(one).alias("_n"), F.min_by(one, tie).alias("_first")).withColumn("_b", F.floor(F.col(score) * bins).cast("int"))
     above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.lag("_least").over(Window.orderBy(F.desc("_b"))).alias("_last"))
-    w = Window.partitionBy("_b").orderBy(F.desc(score), tie)
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = binned.join(F.broadcast(offsets), "_b")
-    out = out.withColumn("pos", F.col("_p0") + F.sum((~F.col(decoy)).cast("long")).over(up)).withColumn("neg", F.col("_n0") + F.sum(F.col(decoy).cast("long")).over(up))
-    return out.withColumn("previous", F.coalesce(F.lag(score).over(w), F.col("_last"))).drop("_b", "_p0", "_n0", "_last")
+    totals = scores.groupBy("_b").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn"), F.min(score).alias("_least"))
+    offsets = totals.select("_b", F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_n0"), F.lag("_least").over(Window.orderBy(F.desc("_b"))).alias("_last"))
+    w = Window.partitionBy("_b").orderBy(F.desc(score))
+    before = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = scores.join(F.broadcast(offsets), "_b")  # a row a bin
+    return out.select(score, (F.col("_p0") + before("_p") + 1 - F.col("_first")).alias("pos"), (F.col("_n0") + before("_n") + F.col("_first")).alias("neg"), F.coalesce(F.lag(score).over(w), F.col("_last")).alias("previous"))
 
 
 def fdr_threshold(df: DataFrame, score: str, decoy: str, tie: str, fdr: float, floor: float | None = 0.1) -> DataFrame:
@@ -81,3 +81,8 @@ def first_missing_prefix(df: DataFrame, by: list[str], k: str) -> DataFrame:
     """Rows of each group up to the first missing k (k from 1)."""
     w = Window.partitionBy(*by).orderBy(k)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col(k) == F.col("_r")).drop("_r")
+
+
+def dense_index(df: DataFrame, by: list[str], order: list[Column], name: str = "index") -> DataFrame:
+    """Numbers from 1 within each group along a total order."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -58,9 +58,9 @@ def decoys(spark, sf):
 DECOYS = "SELECT l.doc_id, CAST(n_chars % 1000 AS DOUBLE) / 1000 AS p, toxic = 1 AS decoy, quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_suppkey BETWEEN 1 AND 40 AND l_extendedprice > 20000 AND l_discount >= 0.05")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity BETWEEN 10 AND 40 AND l_extendedprice > 20000 AND l_discount >= 0.05")
 def q01_scan_filter_project(spark, sf):
-    return t(spark, sf, "lineitem").where("l_suppkey between 1 and 40 and l_extendedprice > 20000 and l_discount >= 0.05").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return t(spark, sf, "lineitem").where("l_quantity between 10 and 40 and l_extendedprice > 20000 and l_discount >= 0.05").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_totalprice AS m, o_totalprice * 1.00001 AS n FROM orders),
@@ -131,19 +131,25 @@ def q10_best_hit_per_key(spark, sf):
 
 
 def fdr_sql(floor: str) -> str:
-    return f"""WITH d AS ({DECOYS}), r AS (SELECT *, sum(CASE WHEN decoy THEN 1 ELSE 0 END) OVER w AS neg, sum(CASE WHEN decoy THEN 0 ELSE 1 END) OVER w AS pos, lag(p) OVER (ORDER BY p DESC, doc_id) AS previous
- FROM d WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)), h AS (SELECT coalesce(max(p), 0) AS threshold FROM r WHERE p < previous AND neg >= 0.1 * pos {floor})
+    return f"""WITH d AS (SELECT doc_id, CASE WHEN decoy THEN p * 0.8::DOUBLE ELSE 0.2::DOUBLE + p * 0.8::DOUBLE END AS p, decoy FROM ({DECOYS})), r AS (SELECT *, sum(CASE WHEN decoy THEN 1 ELSE 0 END) OVER w AS neg, sum(CASE WHEN decoy THEN 0 ELSE 1 END) OVER w AS pos, lag(p) OVER (ORDER BY p DESC, doc_id) AS previous
+ FROM d WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)), h AS (SELECT coalesce(max(p), 0) AS threshold FROM r WHERE p < previous AND neg >= 0.12 * pos {floor})
 SELECT doc_id, p, threshold FROM d, h WHERE p >= threshold AND NOT decoy"""
 
 
+def lower_decoys(spark, sf):
+    """Decoys score lower than targets, so a threshold lies in the middle."""
+    p = F.col("p") * 0.8
+    return decoys(spark, sf).select("doc_id", F.when(F.col("decoy"), p).otherwise(F.lit(0.2) + p).alias("p"), "decoy")
+
+
 @query(fdr_sql("AND p >= 0.1"))
 def q11_running_fdr_threshold(spark, sf):
-    return W.fdr_filter(decoys(spark, sf), "p", "decoy", "doc_id", 0.1).select("doc_id", "p", "threshold")
+    return W.fdr_filter(lower_decoys(spark, sf), "p", "decoy", "doc_id", 0.12).select("doc_id", "p", "threshold")
 
 
 @query(fdr_sql(""))
 def q12_running_fdr_no_floor(spark, sf):
-    return W.fdr_filter(decoys(spark, sf), "p", "decoy", "doc_id", 0.1, None).select("doc_id", "p", "threshold")
+    return W.fdr_filter(lower_decoys(spark, sf), "p", "decoy", "doc_id", 0.12, None).select("doc_id", "p", "threshold")
 
 
 @query(f"""WITH b AS (SELECT CAST(floor(p * 100) AS BIGINT) AS bin, sum(CASE WHEN decoy THEN 0 ELSE 1 END) AS c, sum(CASE WHEN decoy THEN 1 ELSE 0 END) AS d FROM ({DECOYS}) GROUP BY 1)
@@ -284,10 +290,10 @@ def q27_asof_backward(spark, sf):
     return J.asof_join(left, right, "s", "previous", [], ["user_id"], strict=True).select("event_id", "previous")
 
 
-@query("""WITH k AS (SELECT DISTINCT p_size AS key, p_size * 2 AS val FROM part WHERE p_size % 7 = 0) SELECT l_orderkey, l_linenumber, l_partkey, coalesce((SELECT min(key) FROM k WHERE key >= l_quantity), (SELECT max(key) FROM k)) AS key,
+@query("""WITH k AS (SELECT DISTINCT CAST(p_size AS DOUBLE) - 0.5::DOUBLE AS key FROM part) SELECT l_orderkey, l_linenumber, l_partkey, coalesce((SELECT min(key) FROM k WHERE key >= l_quantity), (SELECT max(key) FROM k)) AS key,
 coalesce((SELECT min(key) FROM k WHERE key >= l_quantity), (SELECT max(key) FROM k)) * 2 AS val FROM lineitem""")
 def q28_asof_ceiling_else_last(spark, sf):
-    k = t(spark, sf, "part").where("p_size % 7 = 0").select(F.col("p_size").alias("key"), (F.col("p_size") * 2).alias("val")).distinct()  # at most as many rows as sizes
+    k = t(spark, sf, "part").select((F.col("p_size").cast("double") - 0.5).alias("key"), (F.col("p_size").cast("double") * 2 - 1).alias("val")).distinct()
     return J.ceiling_lookup(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), k, "l_quantity", "key", ["val"]).select("l_orderkey", "l_linenumber", "l_partkey", "key", "val")
 
 
@@ -330,10 +336,10 @@ def q33_key_union_priority(spark, sf):
     return J.union_first(tiers, ["k"]).select("k", "tier", "v")
 
 
-@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 10 = 1 INTERSECT SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 10 = 2")
+@query("SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus <> 'O'")
 def q34_intersect_runs(spark, sf):
     li = t(spark, sf, "lineitem")
-    return li.where("l_suppkey % 10 = 1").select("l_partkey").intersect(li.where("l_suppkey % 10 = 2").select("l_partkey"))
+    return li.where("l_linestatus = 'O'").select("l_partkey", "l_suppkey").intersect(li.where("l_linestatus <> 'O'").select("l_partkey", "l_suppkey"))
 
 
 @query("""WITH a AS (SELECT CAST(l_suppkey % 12 AS BIGINT) AS run, l_partkey AS k, CAST(min(l_quantity) AS DOUBLE) AS rt FROM lineitem GROUP BY ALL),
@@ -436,13 +442,13 @@ def q46_r_factor_counts(spark, sf):
 @query("""WITH q AS (SELECT vec_id AS a, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id AS b, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS y FROM embeddings)
 SELECT a, b, round(list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)), 4) AS dot FROM q, e WHERE list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) > 0.5""")
 def q47_spectrum_similarity(spark, sf):
-    """Every hundredth spectrum against all: the queries are a stated set, sent to all tasks in one block."""
+    """Every hundredth spectrum against all: the queries are a stated set, sent to all tasks in blocks of bounded size."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     e = t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     e = e.withColumn("n", dot(F.col("v"), F.col("v")))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("v").alias("x"), F.col("n").alias("nx"))
-    both = e.select(F.col("vec_id").alias("b"), F.col("v").alias("y"), F.col("n").alias("ny")).join(q, F.lit(True)).withColumn("dot", dot(F.col("x"), F.col("y")) / F.sqrt(F.col("nx") * F.col("ny")))
-    return both.where("dot > 0.5").select("a", "b", r4(F.col("dot")).alias("dot"))
+    near = lambda both: both.withColumn("dot", dot(F.col("x"), F.col("y")) / F.sqrt(F.col("nx") * F.col("ny"))).where("dot > 0.5").select("a", "b", r4(F.col("dot")).alias("dot"))
+    return J.in_blocks(e.select(F.col("vec_id").alias("b"), F.col("v").alias("y"), F.col("n").alias("ny")), q, near)
 
 
 @query(f"""WITH d AS ({DECOYS}), s AS (SELECT count(*) AS n, 0.9 * stddev_pop(p) / pow(count(*), 0.2) AS h FROM d), c AS (SELECT CAST(floor(p * 1000) AS BIGINT) AS k, count(*) AS m FROM d GROUP BY 1), g AS (SELECT unnest(range(0, 51)) AS i)

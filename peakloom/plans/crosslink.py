@@ -6,18 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from .extract import coelution
 
 #: Masses of the linker's core and arm, of water and hydrogen.
 CORE, ARM, H2O, H = 112.0995, 68.0, 18.0, 1.0
 
 
-def mass_pairs(clusters: DataFrame, ppm: float, apex_delta: float) -> DataFrame:
-    """A and B apart by the core, or by core, water and arm, eluting together; per A and charge the closest B."""
-    a = clusters.select("run", F.col("cluster_id").alias("a"), F.col("mass").alias("a_mass"), F.col("apex_rt").alias("a_rt")).withColumn("shift", F.explode(F.array(F.lit(CORE), F.lit(CORE + H2O + ARM)))).withColumn("want", F.col("a_mass") + F.col("shift"))
-    b = clusters.select("run", F.col("cluster_id").alias("b"), F.col("mass").alias("b_mass"), F.col("apex_rt").alias("b_rt"), F.col("charge").alias("b_charge"))
+def mass_pairs(clusters: DataFrame, ppm: float, apex_delta: float, per_minute: float | None = None) -> DataFrame:
+    """A and B apart by the core, or by core, water and arm, eluting together; per A, shift and charge the best B: that of the highest correlation, then of the least ppm.
+
+    With per_minute the clusters' traces (rt, intensity) are correlated; without, all pairs correlate alike (0) and ppm decides.
+    """
+    a = clusters.select("run", F.col("cluster_id").alias("a"), F.col("mass").alias("a_mass"), F.col("apex_rt").alias("a_rt"), *_trace(per_minute, "a")).withColumn("shift", F.explode(F.array(F.lit(CORE), F.lit(CORE + H2O + ARM)))).withColumn("want", F.col("a_mass") + F.col("shift"))
+    b = clusters.select("run", F.col("cluster_id").alias("b"), F.col("mass").alias("b_mass"), F.col("apex_rt").alias("b_rt"), F.col("charge").alias("b_charge"), *_trace(per_minute, "b"))
     m = J.ppm_join(a, b, "want", "b_mass", ppm, ["run"]).where(F.abs(F.col("a_rt") - F.col("b_rt")) <= apex_delta).withColumn("error", F.abs(F.col("want") - F.col("b_mass")) * 1e6 / F.col("b_mass"))
-    best = m.groupBy("run", "a", "shift", "b_charge").agg(F.min(F.struct("error", "b")).alias("m"), F.first("a_mass").alias("mass"), F.first("a_rt").alias("rt"))
-    return best.select("run", "a", "shift", "b_charge", "mass", "rt", F.col("m.b").alias("b"), F.col("m.error").alias("ppm"))
+    m = m.withColumn("corr", F.lit(0.0) if per_minute is None else coelution("a_x", "a_y", "b_x", "b_y", F.lit(per_minute)))
+    best = m.groupBy("run", "a", "shift", "b_charge").agg(F.min(F.struct((-F.col("corr")).alias("down"), "error", "b")).alias("m"), F.first("a_mass").alias("mass"), F.first("a_rt").alias("rt"))
+    return best.select("run", "a", "shift", "b_charge", "mass", "rt", F.col("m.b").alias("b"), F.col("m.error").alias("ppm"), (-F.col("m.down")).alias("corr"))
+
+
+def _trace(per_minute: float | None, side: str) -> list:
+    return [] if per_minute is None else [F.col("rt").alias(f"{side}_x"), F.col("intensity").alias(f"{side}_y")]
+
+
+def grouped_pairs(pairs: DataFrame, width: float) -> DataFrame:
+    """Pairs whose masses lie close in one run, as one: centroids and greatest intensities. pairs: run, a_mass, b_mass, a_intensity, b_intensity."""
+    from ..operators.windows import sessions
+
+    g = sessions(pairs, ["run"], "a_mass", "b_mass", width, "group")
+    return g.groupBy("run", "group").agg(F.avg("a_mass").alias("a_mass"), F.avg("b_mass").alias("b_mass"), F.max("a_intensity").alias("a_intensity"), F.max("b_intensity").alias("b_intensity"), F.count("*").alias("pairs"))
 
 
 def pair_pairs(pairs: DataFrame, apex_delta: float) -> DataFrame:
@@ -36,7 +53,7 @@ def intact(found: DataFrame, clusters: DataFrame, ppm: float, apex_delta: float)
 
 
 def spectrum_pairs(groups: DataFrame, ppm: float, top: int = 50) -> DataFrame:
-    """Within one spectrum: fragment groups apart by the core, and two such pairs that sum to the precursor's mass. groups: run, scan_num, mass, intensity, precursor_mass."""
+    """Within one spectrum, among its `top` groups: fragment groups apart by the core, and two such pairs that sum to the precursor's mass. groups: run, scan_num, mass, intensity, precursor_mass."""
     from ..operators.windows import top_k
 
     g = top_k(groups, ["run", "scan_num"], [F.desc("intensity"), F.asc("mass")], top)

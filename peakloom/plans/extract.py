@@ -83,7 +83,8 @@ def clusters(curves: DataFrame, p: Parameters, per_minute: float) -> DataFrame:
     """Isotope clusters: for each curve as monoisotopic peak, charge and isotope number the best other curve by mass, co-elution and height; kept up to the first missing isotope."""
     own = curves.select("run", "window_id", F.col("curve_id").alias("id"), "region", "target_mz", "apex_rt", "apex_intensity", "start_rt", "end_rt", "rt", "intensity")
     low, high = p.charges
-    want = own.withColumn("charge", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(p.isotopes[1] - 1)))).withColumn("want", X.isotope_mz("target_mz", F.col("charge"), 0) + F.col("k") * X.PROTON / F.col("charge"))
+    charged = own.withColumn("charge", F.explode(F.sequence(F.lit(low), F.lit(high)))).where(X.precursor_gate(X.neutral_mass("target_mz", "charge"), *p.mass_range, p.defect_offset if p.defect_filter else None))
+    want = charged.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(p.isotopes[1] - 1)))).withColumn("want", X.isotope_mz("target_mz", F.col("charge"), 0) + F.col("k") * X.PROTON / F.col("charge"))
     other = own.select("run", "window_id", *[F.col(c).alias(f"o_{c}") for c in ("id", "region", "target_mz", "apex_rt", "apex_intensity", "start_rt", "end_rt", "rt", "intensity")])
     tolerance = p.ms1_ppm * (1 + F.col("k") / 2)
     near = J.ppm_join(want, other, "want", "o_target_mz", p.ms1_ppm * (1 + p.isotopes[1] / 2), ["run", "window_id"]).where((X.ppm("want", "o_target_mz") <= tolerance) & (F.abs(F.col("apex_rt") - F.col("o_apex_rt")) <= p.apex_delta) & (X.overlap_of_second("start_rt", "end_rt", "o_start_rt", "o_end_rt") > 0.2))
@@ -151,6 +152,33 @@ def pseudo_spectra(edges: DataFrame, isotopes: DataFrame, p: Parameters, adjust:
     return s.join(isotopes.select("run", "cluster_id", F.size("mz").alias("_n")).distinct(), ["run", "cluster_id"]).select("run", F.when(F.col("_n") >= 3, "Q1").otherwise("Q2").alias("tier"), F.concat_ws(":", "window_id", "cluster_id").alias("spectrum_id"), "charge", F.col("mono_mz").alias("precursor_mz"), F.col("apex_rt").alias("rt"), "peaks")
 
 
+def fitting_fragments(curves: DataFrame, p: Parameters) -> DataFrame:
+    """Fragment curves whose fraction of mass fits at charge 1 or 2."""
+    return curves.where(X.fragment_fits("target_mz", p.defect_offset))
+
+
+def unfragmented_spectra(edges: DataFrame, ms2_clusters: DataFrame, windows: DataFrame, p: Parameters, adjust: bool = True) -> DataFrame:
+    """Tier Q3: precursors that went through their isolation window unbroken, so they are clusters of MS2 scans. edges: as `pairs` makes them, cluster_id being an MS2 cluster; only clusters whose m/z lies in their own window count."""
+    w = windows.select("run", "window_id", "window_lo", "window_hi")
+    inside = ms2_clusters.join(w, ["run", "window_id"]).where(F.col("mono_mz").between(F.col("window_lo"), F.col("window_hi")))
+    own = edges.join(inside.select("run", "window_id", "cluster_id").distinct(), ["run", "window_id", "cluster_id"], "left_semi")
+    return pseudo_spectra(own, ms2_clusters, p, adjust).withColumn("tier", F.lit("Q3"))
+
+
+def raw_spectra(points: DataFrame, clusters_: DataFrame, p: Parameters) -> DataFrame:
+    """Spectra of raw intensities for viewers: all MS2 points at the scan nearest to a cluster's apex, unboosted. points: run, window_id, scan_num, rt, mz, intensity; clusters_: run, window_id, cluster_id, charge, mono_mz, apex_rt."""
+    scans = points.select("run", "window_id", "scan_num", "rt").distinct()
+    near = J.band_join(clusters_.select("run", "window_id", "cluster_id", "charge", "mono_mz", "apex_rt"), scans.withColumnRenamed("rt", "s_rt"), "apex_rt", "s_rt", p.apex_delta, ["run", "window_id"])
+    best = near.groupBy("run", "window_id", "cluster_id", "charge", "mono_mz", "apex_rt").agg(F.min_by("scan_num", F.struct(F.abs(F.col("s_rt") - F.col("apex_rt")), "scan_num")).alias("scan_num"))
+    s = best.join(points.select("run", "window_id", "scan_num", "mz", "intensity"), ["run", "window_id", "scan_num"]).groupBy("run", "window_id", "cluster_id", "charge", "mono_mz", "apex_rt").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+    return s.where(F.size("peaks") > p.min_fragments).select("run", F.lit("raw").alias("tier"), F.concat_ws(":", "window_id", "cluster_id").alias("spectrum_id"), "charge", F.col("mono_mz").alias("precursor_mz"), F.col("apex_rt").alias("rt"), "peaks")
+
+
+def mz_variance(points: DataFrame, by: list[str]) -> DataFrame:
+    """Population variance of m/z within each trace."""
+    return points.groupBy(*by).agg(F.var_pop("mz").alias("mz_variance"))
+
+
 def last_window_only(clusters_: DataFrame, windows: DataFrame) -> DataFrame:
     """A cluster in the overlap of two windows belongs to the lower one."""
     upper = F.lead("window_hi").over(Window.partitionBy("run").orderBy(F.desc("window_lo")))
@@ -159,8 +187,8 @@ def last_window_only(clusters_: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def without_contaminants(curves: DataFrame, share: float = 0.9, width: float = 0.1) -> DataFrame:
-    """Drops m/z bins whose curves cover more than this share of the run."""
-    w = Window.partitionBy("run")
-    bin_ = F.ceil((F.col("target_mz") - F.min("target_mz").over(w)) / width)
-    b = curves.withColumn("_bin", bin_).withColumn("_span", F.max("end_rt").over(w) - F.min("start_rt").over(w))
-    return b.withColumn("_cover", F.sum(F.col("end_rt") - F.col("start_rt")).over(Window.partitionBy("run", "_bin"))).where(F.col("_cover") <= share * F.col("_span")).drop("_bin", "_span", "_cover")
+    """Drops m/z bins whose curves cover more than this share of the run. Extents and covers are added up before the shuffle; a run or bin is nowhere gathered."""
+    ends = curves.groupBy("run").agg(F.min("target_mz").alias("_least"), (F.max("end_rt") - F.min("start_rt")).alias("_span"))  # a row a run
+    b = curves.join(ends, "run").withColumn("_bin", F.ceil((F.col("target_mz") - F.col("_least")) / width))
+    full = b.groupBy("run", "_bin").agg(F.sum(F.col("end_rt") - F.col("start_rt")).alias("_cover"), F.max("_span").alias("_all")).where(F.col("_cover") > share * F.col("_all")).select("run", "_bin")
+    return b.join(full, ["run", "_bin"], "left_anti").select(*curves.columns)

@@ -71,3 +71,36 @@ def quantified(ions: DataFrame, clusters: DataFrame, ppm: float, rt_tolerance: f
 def split_runs(psms: DataFrame) -> DataFrame:
     """Run names of a pooled set, from the spectra."""
     return psms.withColumn("run", X.run_name("spectrum"))
+
+
+def probable_mapped(ions: DataFrame, least: float) -> DataFrame:
+    """Mapped ions whose better alignment probability (p_ms1, p_ms2) reaches `least`."""
+    return ions.where(X.targeted_probability("p_ms1", "p_ms2") >= least)
+
+
+def weighted(prot_pep: DataFrame, least: float, by_group: bool = False) -> DataFrame:
+    """Peptides of proteins whose weight (the group's with by_group) reaches `least`, with it as `used_weight`."""
+    w = F.col("group_weight" if by_group else "weight")
+    return prot_pep.withColumn("used_weight", w).where(w >= least)
+
+
+def probable_proteins(proteins: DataFrame, prot_pep: DataFrame, local: float, initial: float, tag: str, keep_decoys: bool = False) -> DataFrame:
+    """Proteins by local probability and by their best peptide's initial probability; decoys by the tag only with keep_decoys."""
+    best = max_initial_probability(prot_pep)
+    kept = proteins.join(best, "acc").where((F.col("probability") >= local) & (F.col("max_initial_probability") >= initial))
+    return kept if keep_decoys else kept.where(~X.is_decoy("acc", tag))
+
+
+def keys_by_sequence(ions: DataFrame) -> DataFrame:
+    """sequence, pep_keys: the ions of each peptide in order."""
+    return ions.groupBy("sequence").agg(F.array_sort(F.collect_set("pep_key")).alias("pep_keys"))
+
+
+def ion_types(fragments: DataFrame) -> DataFrame:
+    """pep_key, ion_types: how many kinds of fragment ions each peptide ion has."""
+    return fragments.groupBy("pep_key").agg(F.countDistinct("ion_type").alias("ion_types"))
+
+
+def protein_ions(ions: DataFrame, prot_pep: DataFrame) -> DataFrame:
+    """Distinct peptide ions of proteins."""
+    return ions.join(prot_pep.select("acc", "sequence").distinct(), "sequence").select("acc", "pep_key").distinct()

@@ -27,6 +27,7 @@ class Parameters:
     fragment_rank: int = 300
     min_fragments: int = 10
     defect_offset: float = 0.1
+    defect_filter: bool = True
     symmetry: float = 0.3
     smooth_factor: int = 5
     max_rt_range: float = 1.5
