@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from peakloom.plans import format_queries, kernel_queries  # noqa: F401
+from peakloom.plans import format_queries, kernel_queries, rule_queries  # noqa: F401
 from peakloom.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
