@@ -132,7 +132,7 @@ def q10_best_hit_per_key(spark, sf):
 
 def fdr_sql(floor: str) -> str:
     return f"""WITH d AS (SELECT doc_id, CASE WHEN decoy THEN p * 0.8::DOUBLE ELSE 0.2::DOUBLE + p * 0.8::DOUBLE END AS p, decoy FROM ({DECOYS})), r AS (SELECT *, sum(CASE WHEN decoy THEN 1 ELSE 0 END) OVER w AS neg, sum(CASE WHEN decoy THEN 0 ELSE 1 END) OVER w AS pos, lag(p) OVER (ORDER BY p DESC, doc_id) AS previous
- FROM d WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)), h AS (SELECT coalesce(max(p), 0) AS threshold FROM r WHERE p < previous AND neg >= 0.12 * pos {floor})
+ FROM d WINDOW w AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)), h AS (SELECT coalesce(max(p), 0) AS threshold FROM r WHERE p < previous AND neg >= 0.05 * pos {floor})
 SELECT doc_id, p, threshold FROM d, h WHERE p >= threshold AND NOT decoy"""
 
 
@@ -144,12 +144,12 @@ def lower_decoys(spark, sf):
 
 @query(fdr_sql("AND p >= 0.1"))
 def q11_running_fdr_threshold(spark, sf):
-    return W.fdr_filter(lower_decoys(spark, sf), "p", "decoy", "doc_id", 0.12).select("doc_id", "p", "threshold")
+    return W.fdr_filter(lower_decoys(spark, sf), "p", "decoy", "doc_id", 0.05).select("doc_id", "p", "threshold")
 
 
 @query(fdr_sql(""))
 def q12_running_fdr_no_floor(spark, sf):
-    return W.fdr_filter(lower_decoys(spark, sf), "p", "decoy", "doc_id", 0.12, None).select("doc_id", "p", "threshold")
+    return W.fdr_filter(lower_decoys(spark, sf), "p", "decoy", "doc_id", 0.05, None).select("doc_id", "p", "threshold")
 
 
 @query(f"""WITH b AS (SELECT CAST(floor(p * 100) AS BIGINT) AS bin, sum(CASE WHEN decoy THEN 0 ELSE 1 END) AS c, sum(CASE WHEN decoy THEN 1 ELSE 0 END) AS d FROM ({DECOYS}) GROUP BY 1)
