@@ -267,11 +267,11 @@ def contexts(docs: DataFrame, open_anchors: DataFrame, spec: Spec) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, row, text = (batch.column(c)[i].as_py() for c in range(3))
-                units = spec.units(text)
+            docs, rows, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            for i, (doc, row) in enumerate(zip(docs, rows)):
+                units = spec.units(batch.column(2)[i].as_py())
                 n = len(units)
-                for p in batch.column(3)[i].as_py():
+                for p in places[i].as_py():
                     lo, hi = max(0, p - C), min(n, p + W)
                     key, place = spec.around(units, lo, p, hi), (doc, row, p)
                     if first.setdefault(key, place) > place:

@@ -114,10 +114,10 @@ def compare(table: pa.Table, spec: Spec) -> tuple[list, list[tuple[bytes, int, i
     for i in sorted(range(len(doc)), key=lambda i: (doc[i], row[i], pos[i])):
         right, left = suffix[i].split(), before[i].split()[::-1]
         words, o = left + right, len(left)
-        text, ends = b" ".join([*words, b""]), [0, *accumulate(len(w) + 1 for w in words)]
+        text, ends = b" ".join([*words, b""]), list(accumulate([len(w) + 1 for w in words], initial=0))
         factors, new = block.factors(text, ends, doc[i], row[i], pos[i] - o)
         found += [(doc[i], row[i], lo << 32 | hi, *source) for lo, hi, *source in factors]
-        if new:
+        if new and right[: spec.gram] in (least[: spec.gram], most[: spec.gram]):
             # the words from the anchor on which this context shares with an end of the range
             reach = max(shared_words(right, least), shared_words(right, most))
             sent += [(digest(text[ends[k] : ends[k + W]]), doc[i], row[i], pos[i] - o + k) for k in new if k + W - o <= reach]
@@ -145,9 +145,9 @@ def stitched(matches: list[Factor]) -> list[Factor]:
 
 
 def parse(n: int, matches: list[Factor]) -> list[Factor]:
-    """Greedy factors of n words, one after another: from each place the match that reaches farthest, else literals."""
+    """Greedy factors of n words, one after another: from each place the (stitched) match that reaches farthest, else literals."""
     out: list[Factor] = []
-    matches = sorted(stitched(matches), key=lambda m: (m[0], -m[1], m[2:]))
+    matches = sorted(matches, key=lambda m: (m[0], -m[1], m[2:]))
     at = i = 0
     best: Factor | None = None
     while at < n:
@@ -168,7 +168,7 @@ def parse(n: int, matches: list[Factor]) -> list[Factor]:
 
 def duplicates(factors: list[Factor], matches: list[Factor], window: int = WINDOW) -> list[tuple[int, int]]:
     """Runs of words to remove: factors of `window` words; shorter ones, cut at a boundary, if a match over the boundary has as many and holds them."""
-    out, whole, i, best = [], sorted(m[:2] for m in stitched(matches)), 0, (0, 0)
+    out, whole, i, best = [], sorted(m[:2] for m in matches), 0, (0, 0)
     for lo, hi, doc, *_ in factors:
         while i < len(whole) and whole[i][0] <= lo:
             if whole[i][1] - whole[i][0] >= window:
@@ -193,7 +193,7 @@ def parsed(docs: DataFrame, keep_factors: bool = False) -> DataFrame:
             n, gone, sha, count, every = [], [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = words_of(text)
-                own = [(m["value"] >> 32, m["value"] & 0xFFFFFFFF, m["s_doc"], m["s_row"], m["s_pos"]) for m in found or ()]
+                own = stitched([(m["value"] >> 32, m["value"] & 0xFFFFFFFF, m["s_doc"], m["s_row"], m["s_pos"]) for m in found or ()])
                 factors = parse(len(words), own)
                 kept, at = [], 0
                 for lo, hi in duplicates(factors, own):
