@@ -85,7 +85,7 @@ class Spec:
     tokens: Callable[[str | None], np.ndarray]  # text -> tokens as unsigned integers
     #: text -> what `around` cuts contexts from
     units: Callable[[str], object]
-    #: (units, from, anchor, to) -> the bytes of the tokens from the anchor on, and of those before it, nearest first
+    #: (units, from, anchor, to) -> the bytes of the tokens from the anchor on, and of those before it, in an order of the operator's choice
     around: Callable[[object, int, int, int], tuple[bytes, bytes]]
 
     @property
@@ -234,7 +234,9 @@ def settle(packs: DataFrame, spec: Spec) -> DataFrame:
     return packs.groupBy("bucket").applyInArrow(run, "doc long, row long, pos int")
 
 
-FOUND = "doc long, row long, value long, s_doc long, s_row long, s_pos int"
+#: A span of a place, and where its source begins: doc_id, a few bits of the row's hash (to tell rows of one doc_id apart) and token.
+FOUND = "doc long, row long, value long, s_doc long, s_row short, s_pos int"
+ROW_BITS = 0x7FFF
 CONTEXT = "suffix binary, before binary, pos int, " + FOUND
 
 
@@ -247,7 +249,7 @@ def contexts(docs: DataFrame, open_anchors: DataFrame, spec: Spec) -> DataFrame:
     wanted = open_anchors.groupBy("doc", F.col("row").alias("_row")).agg(F.collect_list("pos").alias("at"))
     joined = docs.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "at")
     C, W, names = spec.reach, spec.window, [x.split()[0] for x in CONTEXT.split(", ")]
-    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
@@ -259,7 +261,7 @@ def contexts(docs: DataFrame, open_anchors: DataFrame, spec: Spec) -> DataFrame:
             for key, place, lo, hi in held:
                 source = first[key]
                 if place[0] > source[0] or (not spec.other and place[:2] == source[:2] and place[2] > source[2]):
-                    rows.append((None, None, None, place[0], place[1], lo << 32 | hi, source[0], source[1], source[2] - place[2] + lo))
+                    rows.append((None, None, None, place[0], place[1], lo << 32 | hi, source[0], source[1] & ROW_BITS, source[2] - place[2] + lo))
                 else:
                     rows.append((*key, place[2], place[0], place[1], None, None, None, None))
             first.clear()
@@ -331,8 +333,8 @@ def across(compared: DataFrame, spec: Spec) -> DataFrame:
         later = twins(new, f["doc"], f["row"], f["pos"], spec.other)
         source = take(f, firsts(new)[later])
         f = take(f, later)
-        cols = [f["doc"], f["row"], span(f["pos"], f["pos"].astype(np.int64) + spec.window), source["doc"], source["row"], source["pos"]]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.int32()])], names=[x.split()[0] for x in FOUND.split(", ")])
+        cols = [f["doc"], f["row"], span(f["pos"], f["pos"].astype(np.int64) + spec.window), source["doc"], (source["row"] & ROW_BITS).astype(np.int16), source["pos"]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int16(), pa.int32()])], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return compared.where("bucket is not null").select("bucket", "pack").groupBy("bucket").applyInArrow(run, FOUND)
 
@@ -344,7 +346,7 @@ COMPARED = FOUND + ", bucket int, pack binary"
 def compared_rows(found: list, sent: list[tuple[bytes, int, int, int]], n: int) -> Iterator[pa.RecordBatch]:
     """COMPARED from columns of FOUND and windows that may go on in other ranges."""
     names = [x.split()[0] for x in COMPARED.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int16(), pa.int32(), pa.int32(), pa.binary()]
     m = len(found[0])
     if m:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(found, kinds)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)

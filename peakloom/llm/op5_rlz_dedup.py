@@ -4,8 +4,9 @@ The reference of a document is every document with a smaller doc_id. It is index
 ranges of the texts around its anchors (see `anchored`), dealt by sampled splitters. What a document
 can share with a block lies in the contexts that fall into the same range, so it is factored against
 every block that could hold a match, and in no other. A block is read in order of documents: each
-context is parsed greedily from the left against the index of WINDOW-word strings read so far, a hit
-being drawn out along its source as far as the words agree. Windows over a factor's end are looked up
+context that stands as a whole in an earlier document is one factor; any other is parsed greedily from
+the left against the index of WINDOW-word strings read so far, a hit being drawn out along its source
+as far as the words agree. Windows over a factor's end are looked up
 too, and those whose class reaches the end of the block are held against the other blocks.
 
 A document puts its blocks' factors together: those of one source that continue one another are one.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchored import Spec, digest, merged, placed, repeated
+from .anchored import ROW_BITS, Spec, digest, merged, placed, repeated
 from .common import documents
 
 WINDOW, GRAM = 13, 5
@@ -41,12 +42,12 @@ Factor = tuple[int, int, int | None, int | None, int | None]
 
 
 class _Hashes(dict):
-    """64-bit hashes of words; forgets everything when full."""
+    """64-bit hashes of words, as bytes; forgets everything when full."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > 300_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
+        h = self[word] = xxhash.xxh64_digest(word, 7)
         return h
 
 
@@ -59,22 +60,30 @@ def words_of(text: str | None) -> list[bytes]:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Of words, to find anchors by; what is equal is decided on the words."""
-    return np.array(list(map(_hashes.__getitem__, words_of(text))), np.uint64)
+    return np.frombuffer(b"".join(map(_hashes.__getitem__, words_of(text))), np.uint64)
 
 
 def around(words: list[bytes], lo: int, p: int, hi: int) -> tuple[bytes, bytes]:
     """Each word ends in a blank, so texts that share words lie together when sorted."""
-    return b" ".join([*words[p:hi], b""]), b" ".join([*words[lo:p][::-1], b""])
+    return b" ".join([*words[p:hi], b""]), b" ".join([*words[lo:p], b""])
 
 
 WORDS = Spec(WINDOW, GRAM, True, word_hashes, words_of, around)
 
 
 class Block:
-    """The index of a reference block: where each string of WINDOW words starts first. Texts are added in order of documents."""
+    """The index of a reference block: where each whole text stands first, and where each string of WINDOW words starts first. Texts are added in order of documents."""
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.first, self.texts = window, {}, []
+        self.window, self.whole, self.first, self.texts = window, {}, {}, []
+
+    def copy(self, text: bytes, doc: int, at: int) -> tuple[int, int, int, int, int] | None:
+        """The factor of a text that stands as a whole in an earlier document."""
+        hit = self.whole.get(text)
+        if hit is None or self.texts[hit][2] >= doc:
+            return None
+        _, ends, s_doc, s_row, s_at = self.texts[hit]
+        return at, at + len(ends) - 1, s_doc, s_row, s_at
 
     def factors(self, text: bytes, ends: list[int], doc: int, row: int, at: int) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
         """Parses a text (words that end in a blank; ends[i] bytes before word i) which starts at word `at` of a document, and adds it.
@@ -84,6 +93,7 @@ class Block:
         i = done = 0  # windows that end at or before `done` lie in a factor
         me = len(self.texts)
         self.texts.append((text, ends, doc, row, at))
+        self.whole.setdefault(text, me)
         while i + W <= n:
             if i + W <= done:
                 i += 1
@@ -108,19 +118,25 @@ class Block:
 
 def compare(table: pa.Table, spec: Spec) -> tuple[list, list[tuple[bytes, int, int, int]]]:
     """Of one range: factors of its contexts against the others', and windows whose class may reach into other ranges."""
-    suffix, before, doc, row, pos = (table.column(c).to_pylist() for c in ("suffix", "before", "doc", "row", "pos"))
+    by = np.lexsort([table.column(c).to_numpy() for c in ("pos", "row", "doc")])
+    table = table.take(pa.array(by))
     W, block, found, sent = spec.window, Block(spec.window), [], []
-    least, most = min(suffix).split(), max(suffix).split()
-    for i in sorted(range(len(doc)), key=lambda i: (doc[i], row[i], pos[i])):
-        right, left = suffix[i].split(), before[i].split()[::-1]
-        words, o = left + right, len(left)
-        text, ends = b" ".join([*words, b""]), list(accumulate([len(w) + 1 for w in words], initial=0))
-        factors, new = block.factors(text, ends, doc[i], row[i], pos[i] - o)
-        found += [(doc[i], row[i], lo << 32 | hi, *source) for lo, hi, *source in factors]
+    suffixes = table.column("suffix").to_pylist()
+    least, most = min(suffixes).split(), max(suffixes).split()
+    for suffix, before, doc, row, pos in zip(suffixes, *(table.column(c).to_pylist() for c in ("before", "doc", "row", "pos"))):
+        text, o = before + suffix, before.count(b" ")
+        if whole := block.copy(text, doc, pos - o):
+            found.append((doc, row, whole[0] << 32 | whole[1], *whole[2:]))
+            continue
+        words = text.split()
+        ends = list(accumulate([len(w) + 1 for w in words], initial=0))
+        factors, new = block.factors(text, ends, doc, row & ROW_BITS, pos - o)
+        found += [(doc, row, lo << 32 | hi, *source) for lo, hi, *source in factors]
+        right = words[o:]
         if new and right[: spec.gram] in (least[: spec.gram], most[: spec.gram]):
             # the words from the anchor on which this context shares with an end of the range
             reach = max(shared_words(right, least), shared_words(right, most))
-            sent += [(digest(text[ends[k] : ends[k + W]]), doc[i], row[i], pos[i] - o + k) for k in new if k + W - o <= reach]
+            sent += [(digest(text[ends[k] : ends[k + W]]), doc, row, pos - o + k) for k in new if k + W - o <= reach]
     return list(zip(*found)) or [()] * 6, sent
 
 
@@ -191,9 +207,13 @@ def parsed(docs: DataFrame, keep_factors: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sha, count, every = [], [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            lists = batch.column(2)
+            fields = [lists.values.field(k).to_pylist() for k in range(4)]
+            value, s_doc, s_row, s_pos = fields
+            starts = lists.offsets.to_pylist()
+            for text, a, b in zip(batch.column(1).to_pylist(), starts, starts[1:]):
                 words = words_of(text)
-                own = stitched([(m["value"] >> 32, m["value"] & 0xFFFFFFFF, m["s_doc"], m["s_row"], m["s_pos"]) for m in found or ()])
+                own = stitched([(v >> 32, v & 0xFFFFFFFF, d, r, p) for v, d, r, p in zip(value[a:b], s_doc[a:b], s_row[a:b], s_pos[a:b])])
                 factors = parse(len(words), own)
                 kept, at = [], 0
                 for lo, hi in duplicates(factors, own):
