@@ -80,10 +80,9 @@ class Block:
     def copy(self, text: bytes, doc: int, at: int) -> tuple[int, int, int, int, int] | None:
         """The factor of a text that stands as a whole in an earlier document."""
         hit = self.whole.get(text)
-        if hit is None or self.texts[hit][2] >= doc:
+        if hit is None or hit[0] >= doc:
             return None
-        _, ends, s_doc, s_row, s_at = self.texts[hit]
-        return at, at + len(ends) - 1, s_doc, s_row, s_at
+        return at, at + text.count(b" "), *hit
 
     def factors(self, text: bytes, ends: list[int], doc: int, row: int, at: int) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
         """Parses a text (words that end in a blank; ends[i] bytes before word i) which starts at word `at` of a document, and adds it.
@@ -93,7 +92,7 @@ class Block:
         i = done = 0  # windows that end at or before `done` lie in a factor
         me = len(self.texts)
         self.texts.append((text, ends, doc, row, at))
-        self.whole.setdefault(text, me)
+        self.whole.setdefault(text, (doc, row, at))
         while i + W <= n:
             if i + W <= done:
                 i += 1
@@ -123,17 +122,27 @@ def compare(table: pa.Table, spec: Spec) -> tuple[list, list[tuple[bytes, int, i
     W, block, found, sent = spec.window, Block(spec.window), [], []
     suffixes = table.column("suffix").to_pylist()
     least, most = min(suffixes).split(), max(suffixes).split()
-    for suffix, before, doc, row, pos in zip(suffixes, *(table.column(c).to_pylist() for c in ("before", "doc", "row", "pos"))):
+    gram = lambda suffix: b" ".join(suffix.split(b" ", spec.gram)[: spec.gram])
+    edges, alone = {gram(min(suffixes)), gram(max(suffixes))}, {}  # the only text around each gram, None if there are several
+    befores = table.column("before").to_pylist()
+    for suffix, before in zip(suffixes, befores):
+        if alone.setdefault(gram(suffix), (before, suffix)) != (before, suffix):
+            alone[gram(suffix)] = None
+    for suffix, before, doc, row, pos in zip(suffixes, befores, *(table.column(c).to_pylist() for c in ("doc", "row", "pos"))):
         text, o = before + suffix, before.count(b" ")
         if whole := block.copy(text, doc, pos - o):
             found.append((doc, row, whole[0] << 32 | whole[1], *whole[2:]))
             continue
+        key = gram(suffix)
+        if key not in edges and alone[key] is not None:  # nothing but copies of it can share a window
+            block.whole.setdefault(text, (doc, row & ROW_BITS, pos - o))
+            continue
         words = text.split()
         ends = list(accumulate([len(w) + 1 for w in words], initial=0))
         factors, new = block.factors(text, ends, doc, row & ROW_BITS, pos - o)
         found += [(doc, row, lo << 32 | hi, *source) for lo, hi, *source in factors]
         right = words[o:]
-        if new and right[: spec.gram] in (least[: spec.gram], most[: spec.gram]):
+        if new and key in edges:
             # the words from the anchor on which this context shares with an end of the range
             reach = max(shared_words(right, least), shared_words(right, most))
             sent += [(digest(text[ends[k] : ends[k + W]]), doc, row, pos - o + k) for k in new if k + W - o <= reach]
