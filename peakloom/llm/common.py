@@ -31,11 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: the rows as a Parquet table in the shared folder. A lost executor costs a reread, not a recomputation."""
-    spark = df.sparkSession
+    """Cuts lineage: the rows as a Parquet table in the shared folder. A lost executor costs a reread, not a recomputation. The shuffles behind them are let go, so Spark can delete their files."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/peakloom/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.java.lang.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def buckets(spark: SparkSession, least: int = 1) -> int:
