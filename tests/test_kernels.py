@@ -105,3 +105,24 @@ def test_alignment_is_symmetric(seed):
         s, x, y = Q.aligned(a, b, local=local)
         assert s == pytest.approx(Q.aligned(b, a, local=local)[0])
         assert len(x) == len(y) and (local or (x.replace("-", ""), y.replace("-", "")) == (a, b))
+
+
+def test_background_by_hand():
+    """Ten points of falling isotopes have the least level; noise that outnumbers them twice raises it; few or flat points have none."""
+    mz = np.arange(10) * 1.0 + 400
+    falling = np.linspace(100, 10, 10)
+    assert S.background_level(mz, falling) == 10.0
+    assert S.background_level(mz[:9], falling[:9]) == 0.0 and S.background_level(mz, np.full(10, 5.0)) == 0.0
+    noisy = np.concatenate([mz, 600 + np.arange(20) * 0.1])
+    y = np.concatenate([falling + 100, np.linspace(2, 3, 20)])
+    # levels from 2 to the 22nd of 30 heights, 120; at 2 there are 18 noise gaps against 8 isotopes, one step above none
+    assert S.background_level(noisy, y) == pytest.approx(2 + (120 - 2) / 20)
+
+
+def test_substitution_matrix():
+    from peakloom.functions import sequences as Q
+
+    assert len(Q.PAIRS) == 210 and Q.pair_score("W", "W") == 11 and Q.pair_score("I", "V") == Q.pair_score("V", "I") == 3 and Q.pair_score("P", "W") == -4
+    assert Q.similarity("PEPTIDEK", "PEPTIDEK") == 1.0 and Q.similarity("PEPTIDEK", "PWWWWWWK") < 0.5
+    decoy = Q.shuffled("ACDEFGHIKLMNPQR")
+    assert [decoy[i] for i in (8, 12)] == ["K", "P"] and Q.similarity("ACDEFGHIKLMNPQR", decoy) < 0.7

@@ -39,6 +39,31 @@ def test_mzxml(spark, tmp_path):
     assert R.select_scans(df, (2,), start=1.03).count() == 1 and R.isolation_windows(df).count() == 2 and R.peaks(df).count() == 6
 
 
+def xml_scan(n, level, more="", kind="Full", inside=""):
+    return f'<scan num="{n}"\n msLevel="{level}" scanType="{kind}" retentionTime="PT{n}S" lowMz="400" highMz="420"><scanOrigin parentFileID="x" num="{n}"/>{more}<peaks precision="32">{big(PAIRS)}</peaks>{inside}</scan>'
+
+
+def test_nested_mzxml(spark, tmp_path):
+    """Children of a scan are scans of their own, and don't lend it their peaks or precursor."""
+    child = xml_scan(2, 2, '<precursorMz windowWideness="10">410</precursorMz>') + xml_scan(3, 2, '<precursorMz windowWideness="10">430</precursorMz>')
+    text = f"<mzXML><msRun>{xml_scan(1, 1, inside=child)}{xml_scan(4, 1, kind='calibration')}</msRun></mzXML>"
+    rows = R.read_mzxml(spark, put(tmp_path / "n.mzXML", text)).orderBy("scan_num").collect()
+    assert [(r.scan_num, r.ms_level, r.precursor_mz, r.window_lo) for r in rows] == [(1, 1, None, None), (2, 2, 410.0, 405.0), (3, 2, 430.0, 425.0), (4, -1, None, None)]
+    assert all(r.mz == [100.5, 300.125] for r in rows)
+
+
+def test_window_rules_of_acquisitions(spark, tmp_path):
+    two = '<precursorMz windowWideness="4">410</precursorMz><precursorMz windowWideness="4">450</precursorMz>'
+    path = put(tmp_path / "m.mzXML", "<msRun>" + xml_scan(1, 1, kind="SIM") + xml_scan(2, 2, two) + xml_scan(3, 2, '<precursorMz>700</precursorMz>') + "</msRun>")
+    windows = spark.createDataFrame([(390.0, 425.0), (400.0, 500.0), (405.0, 410.0)], "window_lo double, window_hi double")
+    got = lambda kind: sorted((r.scan_num, r.window_lo, r.window_hi) for r in R.read_mzxml(spark, path, acquisition=kind, windows=windows).collect() if r.window_lo is not None)
+    assert got("msx") == [(2, 408.0, 412.0), (2, 448.0, 452.0)]
+    assert got("mse") == [(2, 0.0, 10_000.0), (3, 0.0, 10_000.0)]
+    assert got("variable") == [(2, 390.0, 425.0)]  # nothing holds 700
+    assert got("sim") == [(1, 390.0, 425.0), (1, 400.0, 500.0)]
+    assert got("fixed")[-1] == (3, pytest.approx(694.8), pytest.approx(720.8))
+
+
 def test_mzml(spark, tmp_path):
     cv = lambda a, v="", u="": f'<cvParam accession="{a}" value="{v}" unitName="{u}"/>'
     arr = lambda a, xs: f'<binaryDataArray>{cv(a)}{cv("MS:1000523")}{cv("MS:1000574")}<binary>{base64.b64encode(zlib.compress(struct.pack(f"<{len(xs)}d", *xs))).decode()}</binary></binaryDataArray>'
@@ -188,3 +213,54 @@ def test_streams(spark, tmp_path):
     total = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert spark.table("bins").agg(F.sum("n")).first()[0] == total
     assert V.run_once(V.running_targets(e), "targets", "update").agg(F.sum("n")).first()[0] == total
+
+
+def test_user_modifications_and_keyed_sequences(spark, tmp_path):
+    from peakloom.functions.exprs import modified_sequence
+    from peakloom.operators import lookups as O
+
+    path = put(tmp_path / "ptm.xml", '<ptms><ptm name="Mine" mass="12.5" residues="KR"/><ptm name="End" mass="1.0" residues="N-term"/></ptms>')
+    assert sorted(tuple(r) for r in O.read_modifications(spark, path).collect()) == [("End", "N-term", 1.0), ("Mine", "K", 12.5), ("Mine", "R", 12.5)]
+    df = spark.sql("select 'PEPK' as s, array(named_struct('position', 4, 'mass', 12.5D), named_struct('position', 1, 'mass', 2D)) as m")
+    assert df.select(modified_sequence("s", "m")).first()[0] == "[2(P)]PEP[12.5(K)]K"
+
+
+def test_pepxml_without_a_run_summary_reads_the_same(spark, tmp_path):
+    q = '<spectrum_query spectrum="r.1.1.2" start_scan="1" precursor_neutral_mass="900" assumed_charge="2"><search_result><search_hit hit_rank="1" peptide="PEPK" protein="P" calc_neutral_pep_mass="900" massdiff="0"/></search_result></spectrum_query>'
+    whole = put(tmp_path / "a.pepXML", f"<msms_pipeline_analysis><msms_run_summary>{q}</msms_run_summary></msms_pipeline_analysis>")
+    bare = put(tmp_path / "b.pepXML", f"<msms_pipeline_analysis>{q}</msms_pipeline_analysis>")
+    a, b = (I.read_pepxml(spark, x).drop("run").first() for x in (whole, bare))
+    assert a == b and a.sequence == "PEPK"
+
+
+def test_layouts(spark, tmp_path):
+    from peakloom.sources import layouts as L
+
+    assert L.names_of("clusters", 2)[7:11] == ["mz1", "mz2", "PeakIdx1", "PeakIdx2"] and len(L.names_of("psms")) == 22
+    pairs = spark.createDataFrame([(1, 2, 0.9, 5.0)], "a long, b long, corr double, ppm double")
+    c = spark.createDataFrame([(1, 800.0, 401.0, 2, 1.0, 2.0, [5.0]), (2, 912.1, 457.0, 2, 1.0, 2.0, [7.0])], "cluster_id long, mass double, mono_mz double, charge int, start_rt double, end_rt double, height array<double>")
+    L.write_layout(L.crosslink_table(pairs, c), "crosslinks", str(tmp_path / "x"))
+    r = spark.read.csv(str(tmp_path / "x"), sep="\t", header=True).first()
+    assert (r.A_MW, r.B_MW, r.A_intensity, r.B_intensity, r.Corr) == ("800.0", "912.1", "5.0", "7.0", "0.9")
+
+
+def test_unfragmented_and_raw_spectra(spark):
+    p = Parameters(min_fragments=1)
+    edges = spark.createDataFrame([("r", "w", c, 2, mz, 5.0, 100.0 + k, 10.0, 1.0) for c, mz in ((1, 410.0), (2, 500.0)) for k in range(3)], "run string, window_id string, cluster_id long, charge int, mono_mz double, apex_rt double, fragment_mz double, intensity double, corr double")
+    clusters = spark.createDataFrame([("r", "w", 1, 410.0, [1.0, 2.0, 3.0]), ("r", "w", 2, 500.0, [1.0])], "run string, window_id string, cluster_id long, mono_mz double, mz array<double>")
+    windows = spark.createDataFrame([("r", "w", 400.0, 425.0)], "run string, window_id string, window_lo double, window_hi double")
+    s = extract.unfragmented_spectra(edges, clusters, windows, p).collect()
+    assert [(r.tier, r.precursor_mz, len(r.peaks)) for r in s] == [("Q3", 410.0, 3)]
+    points = spark.createDataFrame([("r", "w", n, 4.9 + n / 10, 100.0 + k, 3.0 * n) for n in (1, 3) for k in range(2)], "run string, window_id string, scan_num long, rt double, mz double, intensity double")
+    raw = extract.raw_spectra(points, clusters.where("cluster_id = 1").selectExpr("run", "window_id", "cluster_id", "2 as charge", "mono_mz", "5.0D as apex_rt"), p).first()
+    assert raw.tier == "raw" and [x.intensity for x in raw.peaks] == [3.0, 3.0]
+
+
+def test_pairs_by_correlation_first(spark):
+    """Of two partners the better correlated one, though the other is nearer in mass."""
+    x = [float(k) / 10 for k in range(20)]
+    up = [math.exp(-((v - 1) ** 2) / 0.1) for v in x]
+    rows = [("r", 1, 1000.0, 1.0, 2, x, up), ("r", 2, 1000.0 + crosslink.CORE, 1.0, 2, x, up[::-1][:10] + [0.1 * k for k in range(10)]), ("r", 3, 1000.0 + crosslink.CORE + 0.002, 1.0, 2, x, [2 * v for v in up])]
+    c = spark.createDataFrame(rows, "run string, cluster_id long, mass double, apex_rt double, charge int, rt array<double>, intensity array<double>")
+    best = lambda n: crosslink.mass_pairs(c, 10.0, 1.0, n).where("a = 1").first().b
+    assert best(None) == 2 and best(10.0) == 3
