@@ -13,8 +13,8 @@ Documents are dealt to groups of bounded size; a group sends its distinct string
 once each, with their counts in training texts to the strings' buckets; a bucket adds up and answers
 each group with the code lengths, in the order it asked. The unigram baseline's words go the same way.
 So a word in every document moves once a group, and neither trie nor word table is ever gathered.
-There are at most 65,536 buckets and only those asked are written to, so rows grow with the texts; the
-answers are written to the shared folder, and three sums of them go through the driver.
+There are at most 65,536 buckets and only those asked are written to, so rows grow with the texts. How
+many training words there are, and how many distinct, is summed over the buckets in one row.
 
 Null texts count as empty; an empty text has one token, the end. Only doc_id and text are read;
 repeated rows are scored (and counted) each.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchored import planes, unplanes
-from .common import buckets, crc_mod5, documents, text_bytes_of, written
+from .common import buckets, crc_mod5, documents, text_bytes_of
 
 ORDER = 5
 #: Bytes of a context that decide its bucket.
@@ -308,31 +308,43 @@ def scored(docs: DataFrame) -> DataFrame:
         rows = [(b, np.int64(len(h)).tobytes() + planes(h) + planes(c) + planes(code) + planes(count.astype(np.uint32))) for b, ((h, c), (code, count)) in enumerate(zip(asks, strings)) if len(h) + len(code)]
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "grp": pa.array([grp] * len(rows), pa.int32()), "pack": pa.array([raw for _, raw in rows], pa.binary())})
 
-    def answer(table: pa.Table) -> pa.Table:
-        """To each group its numbers; and, without a group, the bucket's training words and distinct training words."""
-        groups, hs, cs, strings = table.column("grp").to_pylist(), [], [], []
+    def unpacked(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[memoryview]]:
+        """Of a bucket's packs the words' hashes, their training counts, and the strings as they came."""
+        hs, cs, strings = [], [], []
         for raw in table.column("pack").to_pylist():
             m = int(np.frombuffer(raw, np.int64, 1)[0])
             view = memoryview(raw)[8:]
             hs.append(unplanes(view[: 8 * m], np.uint64, m))
             cs.append(unplanes(view[8 * m :], np.uint32, m))
             strings.append(view[12 * m :])
+        return hs, cs, strings
+
+    def totals(hs: list[np.ndarray], cs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         h, at = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.bincount(at, np.concatenate(cs), minlength=len(h)).astype(np.uint64)
+        return at, np.bincount(at, np.concatenate(cs), minlength=len(h)).astype(np.uint64)
+
+    def fact(table: pa.Table) -> pa.Table:
+        """The bucket's training words, and distinct training words."""
+        hs, cs, _ = unpacked(table)
+        _, total = totals(hs, cs)
+        return pa.table({"_tokens": pa.array([int(total.sum())], pa.int64()), "_kinds": pa.array([int((total > 0).sum())], pa.int64())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        """To each group its numbers, in the order it asked."""
+        hs, cs, strings = unpacked(table)
+        at, total = totals(hs, cs)
         cuts = np.cumsum([0, *map(len, hs)])
         packs = [planes(total[at[a:b]]) + own for a, b, own in zip(cuts[:-1], cuts[1:], answered(strings, near))]
-        bucket = [table.column("bucket")[0].as_py()] * (len(groups) + 1)
-        facts = [[None] * len(groups) + [int(x)] for x in (total.sum(), (total > 0).sum())]
-        return pa.table([pa.array([*groups, None], pa.int32()), pa.array(bucket, pa.int32()), pa.array([*packs, None], pa.binary()), *(pa.array(x, pa.int64()) for x in facts)], names=["grp", "bucket", "pack", "tokens", "kinds"])
+        return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "pack": pa.array(packs, pa.binary())})
 
     asks = dealt.groupBy("grp").applyInArrow(ask, "bucket int, grp int, pack binary")
-    answers = written(asks.groupBy("bucket").applyInArrow(answer, "grp int, bucket int, pack binary, tokens long, kinds long"))
-    facts = answers.where("grp is null").agg(F.sum("tokens"), F.sum("kinds")).first()
-    tokens, kinds_seen = int(facts[0] or 0) + ends, int(facts[1] or 0) + (ends > 0)
+    answers = asks.groupBy("bucket").applyInArrow(answer, "grp int, bucket int, pack binary")
+    facts = asks.groupBy("bucket").applyInArrow(fact, "_tokens long, _kinds long")  # from the same shuffle
+    facts = facts.agg((F.coalesce(F.sum("_tokens"), F.lit(0)) + ends).alias("_tokens"), (F.coalesce(F.sum("_kinds"), F.lit(0)) + int(ends > 0)).alias("_kinds"))
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "log", "score"]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         whole = table.column("text").to_pylist()
         held = table.column("held_out").to_pylist()
         place, asks = asked(map(words, whole), [not x for x in held], n)
@@ -343,7 +355,6 @@ def scored(docs: DataFrame) -> DataFrame:
             counts.append(unplanes(view, np.uint64, m))
             values.append(unplanes(view[8 * m :], np.float32, len(strings[b])))
         c = np.concatenate(counts).astype(np.float64)
-        bottom = np.log10(tokens + 0.5 * (kinds_seen + 1))
         log, known = np.log10(c + 0.5), (c > 0).astype(np.int64)
         table_of = Table(np.concatenate(strings), np.concatenate(values))
         n_tokens, n_known, base = [], [], []
@@ -351,12 +362,13 @@ def scored(docs: DataFrame) -> DataFrame:
             at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
             n_tokens.append(len(own) + 1)
             n_known.append(int(known[at].sum()) + (ends > 0))
-            base.append(float(log[at].sum() + np.log10(ends + 0.5) - (len(own) + 1) * bottom))
-        cols = [table.column("doc_id").to_pylist(), held, n_tokens, n_known, [tokens] * len(whole), base, total_scores(whole, ORDER, table_of)]
+            base.append(float(log[at].sum() + np.log10(ends + 0.5)))
+        cols = [table.column("doc_id").to_pylist(), held, n_tokens, n_known, base, total_scores(whole, ORDER, table_of)]
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
-    replies = answers.where("grp is not null").select("grp", "bucket", "pack")
-    return dealt.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    by_group = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, log double, score double")
+    base = F.col("log") - F.col("n_tokens") * F.log10(F.col("_tokens") + 0.5 * (F.col("_kinds") + 1))
+    return by_group.crossJoin(F.broadcast(facts)).select("doc_id", "held_out", "n_tokens", "n_known", F.col("_tokens").alias("train_tokens"), base.alias("base_score"), "score")  # facts: one row
 
 
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
