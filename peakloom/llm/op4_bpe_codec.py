@@ -1,7 +1,7 @@
 """Operator 4, BPE encoding and decoding through a minimal acyclic transducer lexicon.
 
-Frequent words (those the vocabulary holds whole, and the most frequent of a sample drawn by hash from
-all documents) are compiled with their ids into a shared-suffix automaton that workers map into memory.
+Frequent words (those the vocabulary holds whole, and the most frequent of all documents, counted in
+every row) are compiled with their ids into a shared-suffix automaton that workers map into memory.
 Words outside it are merged exactly, long ones by a heap of pairs. The lexicon only saves merges: ids
 never depend on it. What stands between two blanks is encoded once and remembered.
 
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, transducer
-from .common import documents
+from .common import documents, written
 
-#: Words of the sample that enter the lexicon at most, their greatest length in characters, and documents of the sample on average.
-LEXICON_WORDS, LEXICON_LENGTH, SAMPLE_DOCS = 50_000, 64, 1_000
+#: Counted words that enter the lexicon at most, and their greatest length in characters.
+LEXICON_WORDS, LEXICON_LENGTH = 50_000, 64
 #: Characters (and 50 an entry) of text that a worker keeps encoded between batches; beyond it the memory starts anew.
 MEMORY = 20_000_000
 
@@ -35,28 +35,39 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def frequent(docs: DataFrame, path: str, words: int = LEXICON_WORDS, sample: int = SAMPLE_DOCS) -> list[str]:
-    """The most frequent words of about `sample` documents, drawn by hash over all rows: at most `words` short words reach the driver."""
+def word_counts(docs: DataFrame, path: str) -> DataFrame:
+    """word, n: how often each short word stands in all documents. What stands between two blanks is counted first, so each is split into words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(path)
         for batch in batches:
             seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                seen.update(w for w in model.pieces(text or "") if len(w) <= LEXICON_LENGTH)
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in model.pieces(chunk):
+                    if len(w) <= LEXICON_LENGTH:
+                        seen[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    every = max(1, docs.count() // sample)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(every)) == 0).select("text").mapInArrow(run, "word string, n long")
-    top = drawn.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
-    return [r.word for r in top.collect()]
+    chunks = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("chunk")).where("chunk != ''")  # as WordBPE.chunks
+    return chunks.groupBy("chunk").agg(F.count("*").alias("n")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, sample: int = SAMPLE_DOCS) -> bytes:
-    """Compiles the frequent words. Bounded: the vocabulary's whole words and at most `words` of the sample."""
+def frequent(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent words of all documents: at most `words`, those of one count together or not at all, none that occurs once."""
+    counts = written(word_counts(docs, path).where("n > 1"))
+    least, room = None, words
+    for n, k in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(words).collect():
+        if k > room:
+            break
+        least, room = n, room - k
+    return [] if least is None else sorted(r.word for r in counts.where(F.col("n") >= least).select("word").collect())
+
+
+def lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
+    """Compiles the frequent words. Bounded: the vocabulary's whole words and at most `words` counted ones."""
     model = bpe.load(path)
     entries = {w.encode(): (i,) for w, i in model.whole_tokens().items()}
-    for w in frequent(docs, path, words, sample):
+    for w in frequent(docs, path, words):
         if w not in model.special:
             entries.setdefault(w.encode(), model.merge(w))
     return transducer.compiled(entries)

@@ -98,3 +98,31 @@ def test_transducer():
     assert lex.numbers([*words, b"", b"wal", b"walkingx", b"\xff"]).tolist() == [*range(len(words)), -1, -1, -1, -1]
     assert [lex.ids(i) for i in range(len(words))] == [entries[w] for w in words] and lex.states < sum(map(len, words))
     assert transducer.Lexicon(np.frombuffer(transducer.compiled({}), np.uint8)).numbers([b"a"]).tolist() == [-1]
+
+
+def many_rows():
+    """2,500 documents, each but for the common words with one word that stands in one other document only; and the hard ones."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    return [(i, f"common Zq{i // 2}\n(common)".translate(letters), None, None) for i in range(2500)] + [(3000 + i, t, None, None) for i, t in enumerate([*HARD, None])]
+
+
+def repeated_words(rows):
+    """word -> how often the short words that occur twice or more stand in all rows."""
+    from collections import Counter
+
+    seen = Counter(w for _, t, *_ in rows for w in bpe.load(tokenizer_path()).pieces(t or "") if len(w) <= 64)
+    return {w: n for w, n in seen.items() if n > 1}
+
+
+def test_lexicon_counts_every_row(spark):
+    """All documents are counted, not some; words of one count enter together or not at all."""
+    from peakloom.llm.op4_bpe_codec import frequent, word_counts
+
+    rows, docs = many_rows(), frame(spark, many_rows())
+    want_counts = repeated_words(rows)
+    assert {r.word: r.n for r in word_counts(docs, tokenizer_path()).where("n > 1").collect()} == want_counts and len(want_counts) > 1250
+    assert frequent(docs, tokenizer_path()) == sorted(want_counts)
+    pairs = sum(n == 2 for n in want_counts.values())
+    above = sorted(w for w, n in want_counts.items() if n > 2)
+    assert frequent(docs, tokenizer_path(), len(want_counts) - 1) == above and len(above) == len(want_counts) - pairs
+    assert frequent(docs, tokenizer_path(), 1) == frequent(docs, tokenizer_path(), 2) == ["common"]  # "(" and ")" are as frequent as each other
