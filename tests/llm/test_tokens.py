@@ -126,3 +126,14 @@ def test_lexicon_counts_every_row(spark):
     above = sorted(w for w, n in want_counts.items() if n > 2)
     assert frequent(docs, tokenizer_path(), len(want_counts) - 1) == above and len(above) == len(want_counts) - pairs
     assert frequent(docs, tokenizer_path(), 1) == frequent(docs, tokenizer_path(), 2) == ["common"]  # "(" and ")" are as frequent as each other
+
+
+def test_pipeline_stage_counts_every_row(spark, library, monkeypatch):
+    """The pipeline's last stage compiles its lexicon from all rows that it gets, and encodes as the library does."""
+    import corpus_pipeline
+
+    rows, entered, compiled = many_rows(), {}, transducer.compiled
+    monkeypatch.setattr(transducer, "compiled", lambda entries: entered.update(entries) or compiled(entries))
+    got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.codec_stage(spark, frame(spark, rows), "").collect()}
+    assert {w.encode() for w in repeated_words(rows) if w not in bpe.load(tokenizer_path()).special} <= entered.keys()
+    assert got == {i: want(library, t) for i, t, *_ in rows}
