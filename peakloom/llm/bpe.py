@@ -12,6 +12,8 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 
 #: The splitting pattern and the white space class of the tokenizer file.
@@ -20,6 +22,8 @@ SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 WORD_END = "</w>"
 #: Bytes up to which a word is merged with a list of ranks; longer ones by a heap. The rank of no pair.
 SHORT, NONE = 64, 1 << 60
+#: Words of one length from which they are merged side by side.
+SIDE_BY_SIDE = 16
 
 
 def byte_alphabet() -> list[str]:
@@ -56,6 +60,9 @@ class WordBPE:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault(self.vocab[a] << 20 | self.vocab[b], rank)
             self.made.append(self.vocab[a + b])
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int64)
+        self.all_pieces = regex.compile(SPLIT.pattern + "|\n")
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens in order; special strings stand for themselves."""
@@ -66,6 +73,77 @@ class WordBPE:
             out += [part] if i % 2 else SPLIT.findall(normal(part))
         return out
 
+    def split(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces of all chunks (without blanks and line ends) in order: the distinct ones, and of each piece its place among them and its chunk's place."""
+        text, order = "\n".join(chunks), np.arange(len(chunks))
+        if self.cut is not None and "<|" in text:  # special strings are cut out of the raw text
+            own = np.array(["<|" in c for c in chunks])
+            order = np.concatenate([np.flatnonzero(~own), np.flatnonzero(own)])
+            plain = [c for c, special in zip(chunks, own, strict=True) if not special]
+            found = self.all_pieces.findall(lowered("\n".join([*plain, ""])))
+            found += [w for c, special in zip(chunks, own, strict=True) if special for w in (*self.pieces(c), "\n")]
+        else:
+            found = self.all_pieces.findall(lowered(text))  # white space is in no piece, so it may stand as it is
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if "\n" not in words:
+            return words, at, np.zeros(len(at), np.int64)
+        end = words.index("\n")
+        ends = at == end
+        chunk = order[np.minimum(np.cumsum(ends), len(chunks) - 1)]
+        words.pop(end)
+        at, chunk = at[~ends], chunk[~ends]
+        return words, np.where(at > end, at - 1, at), chunk
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NONE where there is none."""
+        pair = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.pair_ranks[at], NONE)
+
+    def merges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merge, for many words: their ids one after another, and how many each has. Words of one length are merged side by side: a step joins one pair in each, so those not finished stay equally long."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        inner, last, made = np.array(self.inner), np.array(self.last), np.array(self.made)
+        finished: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            if n > SHORT or len(rows) < SIDE_BY_SIDE:
+                finished += [(rows[k : k + 1], np.array([self.merge(words[r].decode())])) for k, r in enumerate(rows.tolist())]
+                continue
+            raw = data[starts[rows][:, None] + np.arange(n)]
+            ids = inner[raw]
+            ids[:, -1] = last[raw[:, -1]]
+            found = self.rank(ids[:, :-1], ids[:, 1:])
+            while len(rows) and n > 1:
+                i = found.argmin(1)  # the leftmost of the lowest
+                best = found[np.arange(len(rows)), i]
+                live = best != NONE
+                if not live.all():
+                    finished.append((rows[~live], ids[~live]))
+                    rows, ids, found, i, best = rows[live], ids[live], found[live], i[live], best[live]
+                    if not len(rows):
+                        break
+                new, k = made[best], np.arange(len(rows))
+                ids = ids[np.arange(n) != i[:, None] + 1].reshape(len(rows), n - 1)
+                ids[k, i] = new
+                found = found[np.arange(n - 1) != i[:, None]].reshape(len(rows), n - 2)
+                n -= 1
+                k = np.flatnonzero(i > 0)
+                found[k, i[k] - 1] = self.rank(ids[k, i[k] - 1], new[k])
+                k = np.flatnonzero(i < n - 1)
+                found[k, i[k]] = self.rank(new[k], ids[k, i[k] + 1])
+            if len(rows):
+                finished.append((rows, ids))
+        many = np.zeros(len(words), np.int64)
+        for rows, ids in finished:
+            many[rows] = ids.shape[1]
+        out, starts = np.empty(int(many.sum()), np.int64), np.cumsum(many) - many
+        for rows, ids in finished:
+            out[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return out, many
+
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token: join the adjacent pair of lowest rank, leftmost first, until none is left."""
         raw = word.encode("utf-8")
@@ -140,13 +218,18 @@ class WordBPE:
         return out
 
 
-def normal(text: str) -> str:
-    """NFC, white space runs to one blank, lower case of each character by itself (so no final sigma)."""
+def lowered(text: str) -> str:
+    """NFC, lower case of each character by itself (so no final sigma)."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")
-    return SPACE.sub(" ", text).lower()
+    return text.lower()
+
+
+def normal(text: str) -> str:
+    """NFC, lower case, white space runs to one blank."""
+    return SPACE.sub(" ", lowered(text))
 
 
 @lru_cache(maxsize=2)

@@ -137,3 +137,43 @@ def test_pipeline_stage_counts_every_row(spark, library, monkeypatch):
     got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.codec_stage(spark, frame(spark, rows), "").collect()}
     assert {w.encode() for w in repeated_words(rows) if w not in bpe.load(tokenizer_path()).special} <= entered.keys()
     assert got == {i: want(library, t) for i, t, *_ in rows}
+
+
+def test_merges_side_by_side(library):
+    """Many words at once: as one by one and as the library, with lengths that few and many words share, and beyond SHORT."""
+    import random
+
+    rng = random.Random(3)
+    model = bpe.load(tokenizer_path())
+    words = ["".join(rng.choices(letters, k=rng.choice([1, 2, 3, 4, 7, 9, 12, 40, 70]))) for letters in ("etaoinshrdlu", "ab", "a", "éßtheinonre", "日本語x") for _ in range(300)] + ["x" * 13, "x" * 64, "x" * 65]
+    ids, many = model.merges([w.encode() for w in words])
+    own = np.split(ids, np.cumsum(many)[:-1])
+    assert [x.tolist() for x in own] == [list(model.merge(w)) for w in words] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [x.tolist() for x in model.merges([])] == [[], []]
+
+
+def test_split_of_many_chunks():
+    """Pieces of all chunks at once are those of each by itself, special strings, lone marks and final sigmas among them."""
+    model = bpe.load(tokenizer_path())
+    hard = [c for t in HARD for c in model.chunks(t)] + ["\u0301e", "e\u0301", "ΑΣ", "Σ", "x\ty\r", "'", "s", "'S", "<|", "|>", "İ"]
+    for chunks in (hard, hard[::-1], [c for c in hard if "<|" not in c], [c for c in hard if "<|" in c], ["a<|endoftext|>B"], ["don't"], [""], []):
+        words, at, chunk = model.split(chunks)
+        got = [[] for _ in chunks]
+        for k, c in zip(at.tolist(), chunk.tolist(), strict=True):
+            got[c].append(words[k])
+        assert got == [model.pieces(c) for c in chunks] and len(set(words)) == len(words)
+
+
+def test_words_are_not_merged_one_by_one(monkeypatch):
+    """Words outside the lexicon are merged together: 2,000 distinct ones take few single merges, and ids stay the same."""
+    import itertools
+
+    import pyarrow as pa
+
+    words = ["zq" + "".join(w) for w in itertools.islice(itertools.product("bcdfghjklm", repeat=5), 2000)]
+    model, single, merge = bpe.load(tokenizer_path()), [], bpe.WordBPE.merge
+    want_ids = [" ".join(map(str, model.ids(w))) for w in words]
+    monkeypatch.setattr(bpe.WordBPE, "merge", lambda self, w: single.append(w) or merge(self, w))
+    c = Codec(tokenizer_path(), transducer.compiled({}))
+    assert c.encode(" ".join(words))[0] == [int(i) for w in want_ids for i in w.split()] and len(single) < 100
+    assert [x for as_ids, *_ in c.encoded(pa.array([*words, None, "", "\n \n"])) for x in as_ids.to_pylist()] == [*want_ids, "", "", ""] and len(single) < 100
