@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 def frequent(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words of all documents: at most `words`, those of one count together or not at all, none that occurs once."""
     counts = written(word_counts(docs, path).where("n > 1"))
-    least, room = None, words
+    least, room = None, words  # each n has a word at least, so the limit leaves out no n that has room
     for n, k in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(words).collect():
         if k > room:
             break
